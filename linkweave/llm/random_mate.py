@@ -45,23 +45,40 @@ def contract(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 400
             scratch.drop(e)
         e = after
         no += 1
-    # unwind: a vertex that collapsed in round r has the root of what it collapsed into, which collapsed in a later round or never
-    roots = None
-    for k in range(len(maps) - 1, -1, -1):
-        into = maps[k].select(F.col("u").alias("vertex"), F.col("into").alias("up"))
-        if roots is None:
-            roots = into.select("vertex", F.col("up").alias("root"))
-        else:
-            named = into.join(roots.select(F.col("vertex").alias("up"), "root"), "up", "left").select("vertex", F.coalesce("root", "up").alias("root"))
-            roots = named.unionByName(roots)
-        if (len(maps) - k) % 8 == 0:
-            roots = scratch.write(roots, "roots")
     vertices = first.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
-    if roots is None:
+    if not maps:
         return vertices.select("vertex", F.col("vertex").alias("root"))
+    roots = _unwind(maps, scratch)
     return vertices.join(roots, "vertex", "left").select("vertex", F.coalesce("root", "vertex").alias("root"))
 
 
+def _unwind(maps: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(vertex, root) of all vertices that ever collapsed, from the (u, into) tables of the rounds.
+
+    A vertex collapses once at most, and what it collapsed into does so in a
+    later round or never: together the tables are a forest no deeper than the
+    number of rounds. Each pass replaces a vertex's label by its label's label,
+    which halves the depth. A label held by any share of the vertices is looked
+    up under a salt; the looked-up side is only the labels that are not roots.
+    """
+    salts = 16
+    labels = maps[0]
+    for m in maps[1:]:
+        labels = labels.unionByName(m)
+    labels = scratch.write(labels.select(F.col("u").alias("vertex"), F.col("into").alias("root")), "labels")
+    depth = 1
+    while depth < len(maps):
+        held = labels.select(F.col("root").alias("vertex")).distinct()
+        ahead = labels.join(held, "vertex", "left_semi").select(F.col("vertex").alias("root"), F.col("root").alias("next"))
+        ahead = ahead.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+        salted = labels.withColumn("salt", F.pmod(F.xxhash64("vertex"), F.lit(salts)))
+        after = scratch.write(salted.join(ahead, ["root", "salt"], "left").select("vertex", F.coalesce("next", "root").alias("root")), "labels")
+        scratch.drop(labels)
+        labels = after
+        depth *= 2
+    return labels
+
+
 def bound_groups(keys: DataFrame, record: str, key: str) -> DataFrame:
     """(record, group): records that share a key, directly or through others, get the smallest record id among them.
 
