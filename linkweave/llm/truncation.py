@@ -27,6 +27,8 @@ _DIGIT = regex.compile(r"\p{N}")
 MARKER = regex.compile(r"\s*(?:[(\[<{]\s*(?:more|cut|cont|continued|truncated|snip|clipped)\.{0,3}\s*[)\]>}]|…)\s*$", regex.I)
 _TERMINAL = regex.compile(r"[\s\"'”’»)\]}]*[.!?।॥。]|[^\w\s]*[\]}]")
 _RECORD = regex.compile(r'\s*\{\s*"')
+#: Marks that join two words when no blank stands beside them: decimals, ids, addresses, compounds.
+_JOINT = regex.compile(r"[.,_\-'’/:~=@&+]+")
 ORDERS = 4
 POINTS = 3
 #: Smallest number of texts, and of sources, that make a closing line.
@@ -65,11 +67,13 @@ def core(text: str) -> tuple[str, bool]:
 
 
 def observe(text: str) -> Iterator[tuple[tuple[str, ...], str]]:
-    """(context, what follows) of each word: t terminal mark, w another word, c other punctuation, n the line's end, e the text's end."""
+    """(context, what follows) of each word: t terminal mark, w another word, perhaps joined, c other punctuation, n the line's end, e the text's end."""
     lines = _lines(core(text)[0])
     for no, (words, gaps) in enumerate(lines):
         for i, gap in enumerate(gaps):
-            if _TERMINAL.match(gap):
+            if i + 1 < len(words) and _JOINT.fullmatch(gap):
+                kind = "w"
+            elif _TERMINAL.match(gap):
                 kind = "t"
             elif i + 1 < len(words):
                 kind = "c" if gap.strip() else "w"
@@ -99,25 +103,31 @@ def ends(text: str) -> dict:
 def complete_end(point: dict, stats: dict, longer: dict) -> str:
     """How the line of a point ends: mark, final, end (as elsewhere), cut or unknown."""
     tail = point["tail"]
-    if tail and _TERMINAL.match(tail):
+    dots = tail[:2] == ".." or tail[:1] == "…"
+    number = tail == "." and point["last"][-1:] == "0"
+    if tail and _TERMINAL.match(tail) and not dots and not number:
         return "mark"
     if tail and tail[-1] in ",;:([{<\"'~-=/&@#_+":
         return "cut"
     own = [stats.get(k, {}) for k in point["keys"]]
-    if own and own[0].get("e", 0) >= FINAL_TEXTS and own[0].get("sources", 0) >= FINAL_SOURCES and own[0]["e"] > own[0].get("w", 0):
+    if not tail and own and own[0].get("e", 0) >= FINAL_TEXTS and own[0].get("sources", 0) >= FINAL_SOURCES and own[0]["e"] > own[0].get("w", 0):
         return "final"
-    if tail:
+    if tail and not dots and not number:
         return "end"
     for i, s in enumerate(own):
         order = len(own) - i
         more = longer.get((point["before"][i], point["last"]), 0)
         inner = s.get("t", 0) + s.get("w", 0) + s.get("c", 0) + s.get("n", 0)
-        if more >= 2 and inner <= 0.05 * more:
+        if more >= 2 and inner <= 0.05 * more and not number:
             return "cut"
-        stop = s.get("t", 0) + s.get("n", 0)
+        stop, on = s.get("t", 0) + s.get("n", 0), s.get("w", 0) + s.get("c", 0)
         if inner >= 3:
-            return "end" if stop >= (0.15 if order >= 3 else 0.05) * (stop + s.get("w", 0)) and stop else "cut" if s.get("w", 0) else "end"
-    return "unknown"
+            if number:  # a number's point: cut only if it hardly ever is the sentence's
+                return "cut" if stop <= 0.02 * s.get("w", 0) else "mark"
+            if stop and stop >= (0.15 if order >= 3 else 0.05) * (stop + s.get("w", 0)):
+                return "mark" if dots else "end"
+            return "cut" if on else "end"
+    return "mark" if tail else "unknown"
 
 
 def judge(info: dict, stats: dict, longer: dict, closing: dict, spike: bool) -> str:
