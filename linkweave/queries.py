@@ -56,7 +56,9 @@ def p4_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_devices, p1_values, p2_found, p2_features, p4_found, p4_sessions)}
+    from linkweave import reference_queries
+
+    return reference_queries.queries() | {f.__name__: f for f in (p1_found, p1_devices, p1_values, p2_found, p2_features, p4_found, p4_sessions)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -71,7 +73,9 @@ def oracle_sql() -> dict[str, str]:
     o AS (SELECT *, CASE WHEN us - lag(us) OVER w > 1800000000 THEN 1 ELSE 0 END AS opens FROM e WINDOW w AS (PARTITION BY card_id ORDER BY us)),
     g AS (SELECT *, sum(opens) OVER (PARTITION BY card_id ORDER BY us) AS no FROM o),
     s AS (SELECT card_id, min(us) AS start_us, max(us) AS end_us, max(us) - min(us) AS duration_us, count(*) AS n FROM g GROUP BY card_id, no)"""
-    return {
+    from linkweave import reference_sql
+
+    return reference_sql.oracle_sql() | {
         "p1_found": devices + " SELECT device_fingerprint, card_id FROM r WHERE no = 1 AND n_cards >= 2",
         "p1_devices": devices + " SELECT device_fingerprint, n_cards, CAST(n_txns AS BIGINT) AS n_txns, card_id AS top_card, n AS top_txns FROM r WHERE no = 1",
         "p1_values": f"""WITH g AS (SELECT attribute, value, count(*) AS n_rows, max(coalesce(cardinality, 0)) AS cardinality FROM identity_groups WHERE trim(value) <> '' GROUP BY ALL),
