@@ -110,7 +110,7 @@ def complete_end(point: dict, stats: dict, longer: dict) -> str:
     if tail and tail[-1] in ",;:([{<\"'~-=/&@#_+":
         return "cut"
     own = [stats.get(k, {}) for k in point["keys"]]
-    if not tail and own and own[0].get("e", 0) >= FINAL_TEXTS and own[0].get("sources", 0) >= FINAL_SOURCES and own[0]["e"] > own[0].get("w", 0):
+    if not tail and own and own[0].get("e", 0) >= FINAL_TEXTS and own[0].get("sources", 0) >= FINAL_SOURCES and own[0]["e"] > max(own[0].get("w", 0), longer.get((point["before"][0], point["last"]), 0)):
         return "final"
     if tail and not dots and not number:
         return "end"
