@@ -70,8 +70,8 @@ def bitmap_runs(entity, span, sec, n, min_us, max_us, gap_s: int, gap_us: int):
     run = np.searchsorted(starts, bit, side="right") - 1
     first = np.ones(len(sec), bool)
     first[1:] = run[1:] != run[:-1]
-    # whole seconds exactly one gap apart may be more than a gap apart in microseconds
-    first[1:] |= (sec[1:] - sec[:-1] == gap_s) & (min_us[1:] - max_us[:-1] > gap_us)
+    # seconds that look within the gap may be a fraction of a second beyond it
+    first[1:] |= (sec[1:] - sec[:-1] >= gap_us // 1_000_000) & (min_us[1:] - max_us[:-1] > gap_us)
     at = np.flatnonzero(first)
     return entity[at], span[at], np.minimum.reduceat(min_us, at), np.maximum.reduceat(max_us, at), np.add.reduceat(n, at)
 
