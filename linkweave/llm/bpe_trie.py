@@ -9,6 +9,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from linkweave.plans.layout import spread
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 #: The published pattern that splits text into words before the merges.
@@ -158,7 +160,8 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabu
 
     Whole texts of any length are encoded; special-token strings are ordinary
     text; repeated rows give repeated results; an empty table an empty one.
-    The vocabulary path must exist on every executor. A map without a shuffle.
+    The vocabulary path must exist on every executor. A map; only an input of
+    fewer files than the cluster runs tasks is redistributed first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,4 +172,4 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabu
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(documents.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")

@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkweave.plans.layout import spread
+
 #: A word: a longest run of letters, combining marks and digits.
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
@@ -217,12 +219,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, window: int = 12, radius:
     rows = items.where("item_id IS NOT NULL AND passage IS NOT NULL").select("item_id", "passage").distinct()
     letters = rows.agg(F.sum(F.length("passage"))).first()[0] or 0
     n_blocks = max(1, math.ceil(letters / 4 / BLOCK_WORDS))
-    found = None
+    found, texts = None, spread(documents.select(key, "text").where("text IS NOT NULL"))
     for k in range(n_blocks):
         block = [(r["item_id"], r["passage"]) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).orderBy("item_id", "passage").collect()]
         built = Items.build(block, window, radius)
         if not len(built.position):
             continue
-        part = documents.select(key, "text").where("text IS NOT NULL").mapInArrow(_search(built, window, least, key), schema)
+        part = texts.mapInArrow(_search(built, window, least, key), schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], schema)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkweave.plans.durable import Scratch
+from linkweave.plans.layout import spread
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _DIGIT = regex.compile(r"\p{N}")
@@ -35,18 +36,21 @@ POINTS = 3
 FINAL_TEXTS, FINAL_SOURCES = 8, 3
 
 
-def _shape(word: str) -> str:
-    return _DIGIT.sub("0", word.lower())
+def _words(line: str) -> tuple[list[str], list[str]]:
+    """The words of a line and the gap after each."""
+    words, gaps, end = [], [], 0
+    for m in _WORD.finditer(line):
+        if words:
+            gaps.append(line[end : m.start()])
+        words.append(m.group())
+        end = m.end()
+    gaps.append(line[end:])
+    return words, gaps
 
 
-def _lines(text: str) -> list[tuple[list[str], list[str]]]:
-    """Of each line with a word: its words (digits as 0) and the gap after each."""
-    out = []
-    for line in text.split("\n"):
-        m = list(_WORD.finditer(line))
-        if m:
-            out.append(([_shape(x.group()) for x in m], [line[a.end() : b.start()] for a, b in zip(m, m[1:])] + [line[m[-1].end() :]]))
-    return out
+def _shape(text: str) -> str:
+    """The text in lower case with every digit as 0."""
+    return _DIGIT.sub("0", text.lower())
 
 
 def _contexts(words: list[str], at: int) -> list[tuple[str, ...]]:
@@ -68,32 +72,43 @@ def core(text: str) -> tuple[str, bool]:
 
 def observe(text: str) -> Iterator[tuple[tuple[str, ...], str]]:
     """(context, what follows) of each word: t terminal mark, w another word, perhaps joined, c other punctuation, n the line's end, e the text's end."""
-    lines = _lines(core(text)[0])
+    lines = [x for x in map(_words, _shape(core(text)[0]).split("\n")) if x[0]]
+    kinds: dict[str, str] = {}
     for no, (words, gaps) in enumerate(lines):
-        for i, gap in enumerate(gaps):
-            if i + 1 < len(words) and _JOINT.fullmatch(gap):
-                kind = "w"
-            elif _TERMINAL.match(gap):
-                kind = "t"
-            elif i + 1 < len(words):
-                kind = "c" if gap.strip() else "w"
-            else:
-                kind = "e" if no + 1 == len(lines) else "n"
+        for i, gap in enumerate(gaps[:-1]):
+            kind = kinds.get(gap)
+            if kind is None:
+                kind = kinds[gap] = "w" if _JOINT.fullmatch(gap) else "t" if _TERMINAL.match(gap) else "c" if gap.strip() else "w"
             for c in _contexts(words, i):
                 yield c, kind
+        kind = "t" if _TERMINAL.match(gaps[-1]) else "e" if no + 1 == len(lines) else "n"
+        for c in _contexts(words, len(words) - 1):
+            yield c, kind
+
+
+def last_line(text: str) -> int | None:
+    for line in reversed(_shape(core(text)[0]).split("\n")):
+        words, gaps = _words(line)
+        if words:
+            return line_key(words, gaps)
+    return None
 
 
 def line_key(words: list[str], gaps: list[str]) -> int:
     """A line with every number as one digit."""
-    return key_of(("line", *(w if not w.isdigit() else "0" for w in words), gaps[-1].strip()))
+    return key_of(("line", *("0" if w.isdigit() else w for w in words), gaps[-1].strip()))
 
 
 def ends(text: str) -> dict:
     """What the judgement of one text needs: its shape, and for its last lines their keys, contexts and tails."""
     body, marked = core(text)
-    lines = _lines(body)
-    points = []
-    for words, gaps in reversed(lines[-POINTS:]):
+    points: list[dict] = []
+    for line in reversed(_shape(body).split("\n")):
+        words, gaps = _words(line)
+        if not words:
+            continue
+        if len(points) == POINTS:
+            break
         c = _contexts(words, len(words) - 1)
         points.append({"line": line_key(words, gaps), "tail": gaps[-1].strip(), "last": words[-1], "keys": [key_of(x) for x in c], "before": [key_of(("|", *x[:-1])) for x in c]})
     opened = bool(_RECORD.match(body))
@@ -155,35 +170,45 @@ def judge(info: dict, stats: dict, longer: dict, closing: dict, spike: bool) ->
     return ""
 
 
-def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(seen: Counter, names: dict) -> pa.RecordBatch:
-        rows = [(k, *names[k], kind, src, n) for (k, kind, src), n in seen.items()]
-        cols = list(zip(*rows))
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["key", "before", "last", "kind", "source", "n"])
+#: What follows a word, as columns of the statistics.
+_KINDS = {k: i for i, k in enumerate("twcn")}
+
 
-    hashed: dict[tuple, tuple[int, int]] = {}
+def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts per context (kinds t, w, c, n), per context and source (e) and per closing line and source (l), summed over some 400,000 contexts at a time."""
+    names = ["key", "before", "last", *"twcn", "e", "l", "source"]
+    types = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 6, pa.string()]
+
+    def out(seen: dict, ended: Counter, lines: Counter) -> pa.RecordBatch:
+        rows = [(key_of(c), key_of(("|", *c[:-1])), c[-1], *n, 0, 0, None) for c, n in seen.items()]
+        rows += [(key_of(c), key_of(("|", *c[:-1])), c[-1], 0, 0, 0, 0, n, 0, source) for (c, source), n in ended.items()]
+        rows += [(k, 0, "", 0, 0, 0, 0, 0, n, source) for (k, source), n in lines.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    seen: dict[tuple[str, ...], list[int]] = {}
+    ended: Counter = Counter()
+    lines: Counter = Counter()
     for b in batches:
-        seen: Counter = Counter()
-        names: dict[int, tuple[int, str]] = {}
         for text, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if not text:
                 continue
+            source = source or ""
             for c, kind in observe(text):
-                h = hashed.get(c)
-                if h is None:
-                    if len(hashed) > 400_000:
-                        hashed.clear()
-                    h = hashed[c] = key_of(c), key_of(("|", *c[:-1]))
-                names[h[0]] = h[1], c[-1]
-                seen[h[0], kind, source if kind == "e" else None] += 1
-            lines = _lines(core(text)[0])
-            if lines:
-                k = line_key(*lines[-1])
-                names[k] = 0, ""
-                seen[k, "l", source] += 1
-        if seen:
-            yield out(seen, names)
+                if kind == "e":
+                    ended[c, source] += 1
+                else:
+                    n = seen.get(c)
+                    if n is None:
+                        n = seen[c] = [0, 0, 0, 0]
+                    n[_KINDS[kind]] += 1
+            k = last_line(text)
+            if k is not None:
+                lines[k, source] += 1
+            if len(seen) > 400_000:
+                yield out(seen, ended, lines)
+                seen, ended, lines = {}, Counter(), Counter()
+    if seen or ended or lines:
+        yield out(seen, ended, lines)
 
 
 _POINT = "struct<line: bigint, tail: string, last: string, keys: array<bigint>, before: array<bigint>>"
@@ -238,10 +263,11 @@ def truncated(documents: DataFrame) -> DataFrame:
     """
     scratch = Scratch(documents.sparkSession)
     docs = documents.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("doc_id", "text", "source")
-    seen = docs.select("text", "source").mapInArrow(_observations, "key bigint, before bigint, last string, kind string, source string, n bigint")
-    summed = seen.groupBy("key", "kind", "source").agg(F.sum("n").alias("n"), F.first("before").alias("before"), F.first("last").alias("last"))
-    count = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(kind)
-    stats = scratch.write(summed.groupBy("key").agg(*map(count, "twcnel"), F.count_if(F.col("kind").isin("e", "l")).alias("sources"), F.first("before").alias("before"), F.first("last").alias("last")), "stats")
+    docs = spread(docs)
+    seen = docs.select("text", "source").mapInArrow(_observations, "key bigint, before bigint, last string, t bigint, w bigint, c bigint, n bigint, e bigint, l bigint, source string")
+    # one row per context and source first: sources are counted as rows, and no context's rows meet unsummed
+    summed = seen.groupBy("key", "source").agg(*[F.sum(k).alias(k) for k in "twcnel"], F.first("before").alias("before"), F.first("last").alias("last"))
+    stats = scratch.write(summed.groupBy("key").agg(*[F.sum(k).alias(k) for k in "twcnel"], F.count("source").alias("sources"), F.first("before").alias("before"), F.first("last").alias("last")), "stats")
     ended = scratch.write(docs.select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(_ends_of, _ENDS), "ends")
 
     point = ended.select("doc_id", F.explode("points").alias("p"))
