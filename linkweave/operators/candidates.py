@@ -104,3 +104,11 @@ def recall(members: DataFrame, reference: DataFrame) -> DataFrame:
     top = hits.select(F.explode(F.array("source", F.lit("all"))).alias("source"), "ref_id", "c").groupBy("source", "ref_id").agg(F.max("c").alias("c"))
     grid = sizes.select("ref_id", "size", F.explode(F.array(*map(F.lit, (*SOURCE_ORDER, "all")))).alias("source"))
     return grid.join(top, ["ref_id", "source"], "left").select("ref_id", "source", (F.coalesce("c", F.lit(0)) * 2 > F.col("size")).alias("covered"))
+
+
+def measures(members: DataFrame, reference: DataFrame) -> DataFrame:
+    """(candidate_id, ref_id, jaccard, covered) of every pair with a common card; pairs without one have 0 in both."""
+    n = members.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"))
+    size = reference.groupBy("ref_id").agg(F.count(F.lit(1)).alias("size"))
+    hits = members.join(reference, "card_id").groupBy("candidate_id", "ref_id").agg(F.count(F.lit(1)).alias("c")).join(n, "candidate_id").join(size, "ref_id")
+    return hits.select("candidate_id", "ref_id", (F.col("c") / (F.col("n") + F.col("size") - F.col("c"))).alias("jaccard"), (F.col("c") / F.col("size")).alias("covered"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkweave.operators import graph
 from linkweave.operators.identity import ATTRIBUTES
+from linkweave.plans.durable import Scratch
 
 #: Strict amount bounds, small-merchant ticket, burst window, entropy bins.
 PROBE_BELOW, CASHOUT_ABOVE, SMALL_TICKET, BURST_S, ENTROPY_BINS = 10.0, 10_000.0, 50.0, 300, 12
@@ -111,11 +112,14 @@ def behavioural_features(rows: DataFrame, small: DataFrame) -> DataFrame:
 
 def features(members: DataFrame, txn: DataFrame, small: DataFrame, edges: DataFrame, n_vertices: int, n_edges: int) -> DataFrame:
     """One row per candidate with all 31 columns as doubles."""
-    rows = gather(members, txn)
+    scratch = Scratch(members.sparkSession)
+    # read by several branches each: written once
+    rows = scratch.write(gather(members, txn), "rows")
+    slice_ = scratch.write(shared_slice(rows, shared_values(rows)), "slice")
     sizes = members.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"))
     known = rows.select("candidate_id").distinct()
     ident = identity_features(rows, sizes)
-    behave = behavioural_features(shared_slice(rows, shared_values(rows)), small)
+    behave = behavioural_features(slice_, small)
     struct = graph.structure(members, edges, n_vertices, n_edges)
     wide = known.join(struct, "candidate_id").join(ident, "candidate_id").join(behave, "candidate_id")
     names = (*STRUCTURAL, *IDENTITY, *BEHAVIOURAL)

@@ -133,7 +133,7 @@ def hop_shape(members: DataFrame, inner: DataFrame, most: int = 50) -> DataFrame
 
 def structure(members: DataFrame, edges: DataFrame, n_vertices: int, n_edges: int) -> DataFrame:
     """Per candidate: size, density, average degree, clustering, components, expansion, cut ratio, modularity contribution (unweighted), diameter."""
-    inner = induced(members, edges).select("candidate_id", "card_a", "card_b")
+    inner = Scratch(members.sparkSession).write(induced(members, edges).select("candidate_id", "card_a", "card_b"), "inner")
     sizes = members.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"))
     inside = inner.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("m"))
     outer = members.join(degrees(edges), "card_id").groupBy("candidate_id").agg(F.sum("degree").alias("d"))

@@ -45,6 +45,59 @@ def signatures(vectors: DataFrame, key: str, vector: str, scale: DataFrame) -> D
     return vectors.select(key, unit(z).alias("signature"))
 
 
+def _facing(queries: DataFrame, stored: DataFrame):
+    """Both tables grouped so that every slice of the queries meets every block of BLOCK stored vectors in one task."""
+    n = max(1, -(-stored.count() // BLOCK))
+    slices = max(1, queries.sparkSession.sparkContext.defaultParallelism // n)
+    upto = lambda k: F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))
+    asked = queries.select(F.explode(upto(n)).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(slices)).alias("part"), F.col("query_id").alias("id"), "vector")
+    blocks = stored.select(F.pmod(F.xxhash64("case_id"), F.lit(n)).alias("block"), F.explode(upto(slices)).alias("part"), F.col("case_id").alias("id"), "vector")
+    return asked.groupBy("block", "part"), blocks.groupBy("block", "part")
+
+
+def _matrix(vectors):
+    """Rows of unit length; zero vectors stay."""
+    import numpy as np
+
+    m = np.array(vectors.tolist(), float)
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+def similarity_histogram(queries: DataFrame, stored: DataFrame, steps: int) -> DataFrame:
+    """(step, n): cosines of every query with every stored vector of another id, counted in steps of 1 / steps; counted inside the block tasks."""
+
+    def count(key, left, right):
+        import numpy as np
+        import pandas as pd
+
+        if not len(left) or not len(right):
+            return pd.DataFrame({"step": [], "n": []})
+        y, seen = _matrix(right["vector"]).T, {}
+        ids = right["id"].to_numpy()
+        for lo in range(0, len(left), BLOCK):
+            part = left.iloc[lo : lo + BLOCK]
+            sim = np.floor(np.round(_matrix(part["vector"]) @ y, 9) * steps).astype(np.int64)
+            step, n = np.unique(sim[part["id"].to_numpy()[:, None] != ids[None, :]], return_counts=True)
+            for i, c in zip(step.tolist(), n.tolist()):
+                seen[i] = seen.get(i, 0) + c
+        return pd.DataFrame(sorted(seen.items()), columns=["step", "n"])
+
+    a, b = _facing(queries, stored)
+    return a.cogroup(b).applyInPandas(count, "step bigint, n bigint").groupBy("step").agg(F.sum("n").alias("n"))
+
+
+def page(rows: DataFrame, order: list[Column], skip: int, take: int) -> DataFrame:
+    """`take` rows from place `skip` on in a total order."""
+    return rows.orderBy(*order).offset(skip).limit(take)
+
+
+def match_template(queries: DataFrame, known: DataFrame, at_least: float = FRAUD_AT) -> DataFrame:
+    """(query_id, template_id, similarity): the nearest template centroid (template_id, centroid), if near enough."""
+    near = nearest(queries, known.select(F.col("template_id").alias("case_id"), F.col("centroid").alias("vector")), at_least, 1)
+    return near.withColumnRenamed("case_id", "template_id")
+
+
 def nearest(queries: DataFrame, stored: DataFrame, at_least: float, k: int = NEIGHBOURS) -> DataFrame:
     """(query_id, case_id, similarity): up to k stored vectors with a cosine of at least the bound, of equal ones the smaller id.
 
@@ -54,9 +107,7 @@ def nearest(queries: DataFrame, stored: DataFrame, at_least: float, k: int = NEI
     product keeps the k best; the blocks' best are then merged. No pair is ever
     a row.
     """
-    n = max(1, -(-stored.count() // BLOCK))
-    blocks = stored.select(F.pmod(F.xxhash64("case_id"), F.lit(n)).alias("block"), F.lit(1).alias("side"), F.col("case_id").alias("id"), F.col("vector"))
-    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("block"), F.lit(0).alias("side"), F.col("query_id").alias("id"), F.col("vector"))
+    a, b = _facing(queries, stored)
     kind = queries.schema["query_id"].dataType.simpleString(), stored.schema["case_id"].dataType.simpleString()
 
     def best(key, left, right):
@@ -66,25 +117,16 @@ def nearest(queries: DataFrame, stored: DataFrame, at_least: float, k: int = NEI
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "case_id": [], "similarity": []})
 
-        def matrix(col):
-            m = np.array(col.tolist(), float)
-            size = np.linalg.norm(m, axis=1, keepdims=True)
-            return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
-
         right = right.sort_values("id")
-        y, rows = matrix(right["vector"]).T, []
+        y, rows = _matrix(right["vector"]).T, []
         for lo in range(0, len(left), BLOCK):
             part = left.iloc[lo : lo + BLOCK]
-            sim = np.round(matrix(part["vector"]) @ y, 9)
+            sim = np.round(_matrix(part["vector"]) @ y, 9)
             order = np.argsort(-sim, axis=1, kind="stable")[:, :k]
             for i, row in enumerate(order):
                 rows += [(part["id"].iloc[i], right["id"].iloc[j], float(sim[i, j])) for j in row if sim[i, j] >= at_least]
         return pd.DataFrame(rows, columns=["query_id", "case_id", "similarity"])
 
-    # queries are spread over slices of each block, so a task holds one block and one slice
-    slices = max(1, queries.sparkSession.sparkContext.defaultParallelism // n)
-    a = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(slices))).groupBy("block", "part")
-    b = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint")))).groupBy("block", "part")
     got = a.cogroup(b).applyInPandas(best, f"query_id {kind[0]}, case_id {kind[1]}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "case_id")
     return got.withColumn("no", F.row_number().over(w)).where(F.col("no") <= k).drop("no")

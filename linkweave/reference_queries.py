@@ -445,5 +445,60 @@ def ref_gbt_oof(spark, d):
     return oof.select("candidate_id", "fold", "y", "p")
 
 
+def ref_ablation(spark, d):
+    """Out-of-fold scores without each family of columns."""
+    b = Base(spark, d)
+    f = ref_features(spark, d).join(ref_candidate_labels(spark, d).select("candidate_id", F.col("is_match").cast("int").alias("y")), "candidate_id").join(C.worlds(b.members, b.card_world).select("candidate_id", F.pmod("world_id", F.lit(2)).alias("fold")), "candidate_id")
+    families = {"structural": list(X.STRUCTURAL), "identity": list(X.IDENTITY), "behavioural": list(X.BEHAVIOURAL)}
+    return model.ablation(materialize(f, "training"), families, trees=3, depth=2)
+
+
+def ref_set_measures(spark, d):
+    """Jaccard similarity and covered share of each candidate and reference set with a common card."""
+    b = Base(spark, d)
+    return C.measures(b.members, b.reference).select("candidate_id", "ref_id", r6("jaccard"), r6("covered"))
+
+
+def ref_cosine_histogram(spark, d):
+    """Cosines of every vector whose id is divisible by 20 with all others, in steps of 0.02."""
+    v = _vectors(spark, d)
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("vector"))
+    return M.similarity_histogram(q, v.select(F.col("vec_id").alias("case_id"), F.col("v").alias("vector")), 50)
+
+
+def ref_alert_page(spark, d):
+    """The second page of 20 candidates with a composite of at least a half, highest first."""
+    return M.page(ref_composite(spark, d).where("composite >= 0.5").select("candidate_id", "composite"), [F.desc("composite"), F.asc("candidate_id")], 20, 20)
+
+
+def ref_case_counts(spark, d):
+    """Stored cases by disposition."""
+    return table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ref_audit_tail(spark, d):
+    """The 50 newest log rows."""
+    e = table(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "event_type")
+    return M.page(e, [F.desc("at_us"), F.desc("event_id")], 0, 50)
+
+
+def ref_failure_recovery(spark, d):
+    """Candidates whose composite memory lowers, with and without it."""
+    return ref_composite(spark, d).where("delta < 0").select("candidate_id", F.col("plain").alias("without_memory"), F.col("composite").alias("with_memory"), "delta")
+
+
+def ref_merchant_tickets(spark, d):
+    """Small merchants by observed amounts, where no dimension is at hand."""
+    b = Base(spark, d)
+    return X.small_merchants(None, b.txn.where("merchant_id IS NOT NULL"))
+
+
+def ref_synthetic_roles(spark, d):
+    """Profile of a generated universe by role."""
+    from linkweave.sources import synthetic
+
+    return synthetic.verify(synthetic.universe(spark)["transactions"])
+
+
 def queries() -> dict:
     return {k[4:]: f for k, f in globals().items() if k.startswith("ref_")}

@@ -77,6 +77,13 @@ _BEHAVE = "probe_fraction amount_escalation burst_compression small_merchant_con
 _CLAIMS = [("probe_fraction", "> 0.05"), ("cashout_fraction", "> 0.02"), ("amount_escalation", "> 50"), ("burst_compression", "> 0.3"), ("small_merchant_concentration", "> 0.2"), ("probe_to_cashout_gap_hours", ">= 0")]
 
 QUERIES: dict[str, str] = {
+    "set_measures": "SELECT candidate_id, ref_id, round(c / (n + size - c), 6) AS jaccard, round(c / size, 6) AS covered FROM overlap JOIN csize USING (candidate_id)",
+    "cosine_histogram": "SELECT CAST(floor(round(list_cosine_similarity(q.v, c.v), 9) * 50) AS BIGINT) AS step, count(*) AS n FROM vec q, vec c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id GROUP BY step",
+    "alert_page": "SELECT candidate_id, round(composite, 9) AS composite FROM scored WHERE round(composite, 9) >= 0.5 ORDER BY round(composite, 9) DESC, candidate_id LIMIT 20 OFFSET 20",
+    "case_counts": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
+    "audit_tail": "SELECT event_id, epoch_us(ts) AS at_us, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
+    "failure_recovery": "SELECT candidate_id, round(plain, 9) AS without_memory, round(composite, 9) AS with_memory, round(composite - plain, 9) AS delta FROM scored WHERE round(composite - plain, 9) < 0",
+    "merchant_tickets": "SELECT merchant_id, coalesce(avg(amount) < 50, false) AS small FROM txn WHERE merchant_id IS NOT NULL GROUP BY merchant_id",
     "txn_view": "SELECT transaction_id, card_id, merchant_id, round(amount, 6) AS amount, ts, device_fingerprint, ip_address, email_hash, vulcan_score, txn_role FROM txn",
     "pair_counts": "SELECT * FROM pair",
     "value_cardinality": "SELECT * FROM vcard",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkweave.functions.ids import id_number, id_text
@@ -53,24 +53,27 @@ def transactions(txns: DataFrame) -> DataFrame:
     Rows without transaction_id stay single. Columns of the input beyond the
     documented ones are ignored.
     """
-    a = txns.select(
-        "transaction_id",
+    rows = txns.select(
+        "transaction_id", "card_id", "merchant_id", "amount", "timestamp", "device_fingerprint", "ip_address", "email_hash", "vulcan_score", "txn_role",
         F.when(F.col("transaction_id").isNull(), F.monotonically_increasing_id()).alias("own"),
         F.coalesce(micros("received_at"), F.lit(-(2**63))).alias("received_us"),
-        F.struct(
-            id_text(id_number("card_id", "CARD"), "CARD").alias("card_id"),
-            id_text(id_number("merchant_id", "MERCH"), "MERCH").alias("merchant_id"),
-            F.when(~F.isnan("amount"), F.col("amount")).alias("amount"),
-            F.col("timestamp").cast("timestamp").alias("timestamp"),
-            id_text(id_number("device_fingerprint", "DEV"), "DEV").alias("device_fingerprint"),
-            F.when(F.col("ip_address").rlike("[0-9]"), F.trim("ip_address")).alias("ip_address"),
-            F.when(F.col("email_hash").rlike("[0-9]"), F.upper(F.trim("email_hash"))).alias("email_hash"),
-            F.when(~F.isnan("vulcan_score"), F.col("vulcan_score")).alias("vulcan_score"),
-            "txn_role",
-        ).alias("v"),
+    )
+    # the last row has none after it; a lead needs one sort where a grouped maximum of a struct needs two
+    w = Window.partitionBy("transaction_id", "own").orderBy("received_us")
+    latest = rows.withColumn("later", F.lead("received_us").over(w)).where("later IS NULL")
+    return latest.select(
+        "transaction_id",
+        id_text(id_number("card_id", "CARD"), "CARD").alias("card_id"),
+        id_text(id_number("merchant_id", "MERCH"), "MERCH").alias("merchant_id"),
+        F.when(~F.isnan("amount"), F.col("amount")).alias("amount"),
+        F.col("timestamp").cast("timestamp").alias("timestamp"),
+        id_text(id_number("device_fingerprint", "DEV"), "DEV").alias("device_fingerprint"),
+        F.when(F.col("ip_address").rlike("[0-9]"), F.trim("ip_address")).alias("ip_address"),
+        F.when(F.col("email_hash").rlike("[0-9]"), F.upper(F.trim("email_hash"))).alias("email_hash"),
+        F.when(~F.isnan("vulcan_score"), F.col("vulcan_score")).alias("vulcan_score"),
+        "txn_role",
+        F.unix_seconds(F.col("timestamp").cast("timestamp")).alias("ts"),
     )
-    latest = a.groupBy("transaction_id", "own").agg(F.max_by("v", "received_us").alias("v"))
-    return latest.select("transaction_id", "v.*", F.unix_seconds("v.timestamp").alias("ts"))
 
 
 #: The same view for DuckDB oracles, as a WITH member named txn.
