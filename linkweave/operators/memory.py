@@ -115,7 +115,7 @@ def nearest(queries: DataFrame, stored: DataFrame, at_least: float, k: int = NEI
         import pandas as pd
 
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "case_id": [], "similarity": []})
+            return pd.DataFrame({"query_id": [], "case_id": [], "similarity": []}, dtype=object)
 
         right = right.sort_values("id")
         y, rows = _matrix(right["vector"]).T, []
@@ -125,7 +125,7 @@ def nearest(queries: DataFrame, stored: DataFrame, at_least: float, k: int = NEI
             order = np.argsort(-sim, axis=1, kind="stable")[:, :k]
             for i, row in enumerate(order):
                 rows += [(part["id"].iloc[i], right["id"].iloc[j], float(sim[i, j])) for j in row if sim[i, j] >= at_least]
-        return pd.DataFrame(rows, columns=["query_id", "case_id", "similarity"])
+        return pd.DataFrame(rows, columns=["query_id", "case_id", "similarity"], dtype=object)
 
     got = a.cogroup(b).applyInPandas(best, f"query_id {kind[0]}, case_id {kind[1]}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "case_id")
@@ -167,7 +167,7 @@ def templates(cases: DataFrame, at_least: float = FRAUD_AT, least: int = TEMPLAT
             if len(g) >= least:
                 c = m[g].mean(0)
                 rows.append((f"T-{ids[g[0]]}", len(g), [str(ids[i]) for i in g], (c / (np.linalg.norm(c) or 1)).tolist()))
-        return pd.DataFrame(rows, columns=["template_id", "n", "members", "centroid"])
+        return pd.DataFrame(rows, columns=["template_id", "n", "members", "centroid"], dtype=object)
 
     return cases.groupBy("kind").applyInPandas(cluster, "template_id string, n bigint, members array<string>, centroid array<double>")
 
