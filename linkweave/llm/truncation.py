@@ -31,7 +31,6 @@ _RECORD = regex.compile(r'\s*\{\s*"')
 #: Marks that join two words when no blank stands beside them: decimals, ids, addresses, compounds.
 _JOINT = regex.compile(r"[.,_\-'’/:~=@&+]+")
 ORDERS = 4
-POINTS = 3
 #: Smallest number of texts, and of sources, that make a closing line.
 FINAL_TEXTS, FINAL_SOURCES = 8, 3
 
@@ -70,6 +69,10 @@ def core(text: str) -> tuple[str, bool]:
     return (text[: m.start()].rstrip(), True) if m else (text, False)
 
 
+def _dots(tail: str) -> bool:
+    return tail[:2] == ".." or tail[:1] == "…"
+
+
 def observe(text: str) -> Iterator[tuple[tuple[str, ...], str]]:
     """(context, what follows) of each word: t terminal mark, w another word, perhaps joined, c other punctuation, n the line's end, e the text's end."""
     lines = [x for x in map(_words, _shape(core(text)[0]).split("\n")) if x[0]]
@@ -81,44 +84,31 @@ def observe(text: str) -> Iterator[tuple[tuple[str, ...], str]]:
                 kind = kinds[gap] = "w" if _JOINT.fullmatch(gap) else "t" if _TERMINAL.match(gap) else "c" if gap.strip() else "w"
             for c in _contexts(words, i):
                 yield c, kind
-        kind = "t" if _TERMINAL.match(gaps[-1]) else "e" if no + 1 == len(lines) else "n"
+        last = no + 1 == len(lines)
+        # dots at a text's end may stand for what was cut, so they are no evidence of a sentence's end
+        stop = _TERMINAL.match(gaps[-1]) and not (last and _dots(gaps[-1].strip()))
+        kind = "t" if stop else "e" if last else "n"
         for c in _contexts(words, len(words) - 1):
             yield c, kind
 
 
-def last_line(text: str) -> int | None:
-    for line in reversed(_shape(core(text)[0]).split("\n")):
-        words, gaps = _words(line)
-        if words:
-            return line_key(words, gaps)
-    return None
-
-
-def line_key(words: list[str], gaps: list[str]) -> int:
-    """A line with every number as one digit."""
-    return key_of(("line", *("0" if w.isdigit() else w for w in words), gaps[-1].strip()))
-
-
 def ends(text: str) -> dict:
-    """What the judgement of one text needs: its shape, and for its last lines their keys, contexts and tails."""
+    """What the judgement of one text needs: its shape, and of its last line with a word the contexts and the tail."""
     body, marked = core(text)
-    points: list[dict] = []
+    point = None
     for line in reversed(_shape(body).split("\n")):
         words, gaps = _words(line)
-        if not words:
-            continue
-        if len(points) == POINTS:
+        if words:
+            c = _contexts(words, len(words) - 1)
+            point = {"tail": gaps[-1].strip(), "last": words[-1], "keys": [key_of(x) for x in c], "before": [key_of(("|", *x[:-1])) for x in c]}
             break
-        c = _contexts(words, len(words) - 1)
-        points.append({"line": line_key(words, gaps), "tail": gaps[-1].strip(), "last": words[-1], "keys": [key_of(x) for x in c], "before": [key_of(("|", *x[:-1])) for x in c]})
-    opened = bool(_RECORD.match(body))
-    return {"marked": marked, "broken": body.endswith("�"), "record": opened, "closed": body.endswith("}"), "points": points}
+    return {"marked": marked, "broken": body.endswith("\ufffd"), "record": bool(_RECORD.match(body)), "closed": body.endswith("}"), "point": point}
 
 
 def complete_end(point: dict, stats: dict, longer: dict) -> str:
     """How the line of a point ends: mark, final, end (as elsewhere), cut or unknown."""
     tail = point["tail"]
-    dots = tail[:2] == ".." or tail[:1] == "…"
+    dots = _dots(tail)
     number = tail == "." and point["last"][-1:] == "0"
     if tail and _TERMINAL.match(tail) and not dots and not number:
         return "mark"
@@ -145,29 +135,20 @@ def complete_end(point: dict, stats: dict, longer: dict) -> str:
     return "mark" if tail else "unknown"
 
 
-def judge(info: dict, stats: dict, longer: dict, closing: dict, spike: bool) -> str:
-    """marked, broken, record, tail, above, limit or '' (complete)."""
+def judge(info: dict, stats: dict, longer: dict, spike: bool) -> str:
+    """marked, broken, record, tail, limit or '' (complete)."""
     if info["marked"]:
         return "marked"
     if info["broken"]:
         return "broken"
     if info["record"]:
         return "" if info["closed"] else "record"
-    points = info["points"]
-    if not points:
+    if info["point"] is None:
         return ""
-    end = complete_end(points[0], stats, longer)
+    end = complete_end(info["point"], stats, longer)
     if end == "cut":
         return "tail"
-    if spike and end in ("end", "unknown"):
-        return "limit"
-    for p, above in zip(points, points[1:]):
-        if not closing.get(p["line"]):
-            break
-        # a closing line was put behind: what stands above it must be complete itself
-        if complete_end(above, stats, longer) == "cut":
-            return "above"
-    return ""
+    return "limit" if spike and end in ("end", "unknown") else ""
 
 
 #: What follows a word, as columns of the statistics.
@@ -175,19 +156,17 @@ _KINDS = {k: i for i, k in enumerate("twcn")}
 
 
 def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts per context (kinds t, w, c, n), per context and source (e) and per closing line and source (l), summed over some 400,000 contexts at a time."""
-    names = ["key", "before", "last", *"twcn", "e", "l", "source"]
-    types = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 6, pa.string()]
-
-    def out(seen: dict, ended: Counter, lines: Counter) -> pa.RecordBatch:
-        rows = [(key_of(c), key_of(("|", *c[:-1])), c[-1], *n, 0, 0, None) for c, n in seen.items()]
-        rows += [(key_of(c), key_of(("|", *c[:-1])), c[-1], 0, 0, 0, 0, n, 0, source) for (c, source), n in ended.items()]
-        rows += [(k, 0, "", 0, 0, 0, 0, 0, n, source) for (k, source), n in lines.items()]
+    """Counts per context (kinds t, w, c, n) and per context and source (e), summed over some 400,000 contexts at a time."""
+    names = ["key", "before", "last", *"twcne", "source"]
+    types = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.string()]
+
+    def out(seen: dict, ended: Counter) -> pa.RecordBatch:
+        rows = [(key_of(c), key_of(("|", *c[:-1])), c[-1], *n, 0, None) for c, n in seen.items()]
+        rows += [(key_of(c), key_of(("|", *c[:-1])), c[-1], 0, 0, 0, 0, n, source) for (c, source), n in ended.items()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     seen: dict[tuple[str, ...], list[int]] = {}
     ended: Counter = Counter()
-    lines: Counter = Counter()
     for b in batches:
         for text, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if not text:
@@ -201,26 +180,23 @@ def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     if n is None:
                         n = seen[c] = [0, 0, 0, 0]
                     n[_KINDS[kind]] += 1
-            k = last_line(text)
-            if k is not None:
-                lines[k, source] += 1
             if len(seen) > 400_000:
-                yield out(seen, ended, lines)
-                seen, ended, lines = {}, Counter(), Counter()
-    if seen or ended or lines:
-        yield out(seen, ended, lines)
+                yield out(seen, ended)
+                seen, ended = {}, Counter()
+    if seen or ended:
+        yield out(seen, ended)
 
 
-_POINT = "struct<line: bigint, tail: string, last: string, keys: array<bigint>, before: array<bigint>>"
-_ENDS = f"doc_id bigint, marked boolean, broken boolean, record boolean, closed boolean, points array<{_POINT}>"
-_POINT_TYPE = pa.struct([("line", pa.int64()), ("tail", pa.string()), ("last", pa.string()), ("keys", pa.list_(pa.int64())), ("before", pa.list_(pa.int64()))])
+_POINT = "struct<tail: string, last: string, keys: array<bigint>, before: array<bigint>>"
+_ENDS = f"doc_id bigint, marked boolean, broken boolean, record boolean, closed boolean, point {_POINT}"
+_POINT_TYPE = pa.struct([("tail", pa.string()), ("last", pa.string()), ("keys", pa.list_(pa.int64())), ("before", pa.list_(pa.int64()))])
 
 
 def _ends_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [ends(t) for t in b.column(1).to_pylist()]
         flags = [pa.array([g[k] for g in got], pa.bool_()) for k in ("marked", "broken", "record", "closed")]
-        yield pa.RecordBatch.from_arrays([b.column(0), *flags, pa.array([g["points"] for g in got], pa.list_(_POINT_TYPE))], names=["doc_id", "marked", "broken", "record", "closed", "points"])
+        yield pa.RecordBatch.from_arrays([b.column(0), *flags, pa.array([g["point"] for g in got], _POINT_TYPE)], names=["doc_id", "marked", "broken", "record", "closed", "point"])
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +205,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in b.to_pylist():
             stats = {s["key"]: s for s in r["stats"] or []}
             longer = {(s["before"], s["last"]): s["more"] for s in r["longer"] or []}
-            closing = {s["key"]: True for s in r["stats"] or [] if s["l"] >= FINAL_TEXTS and s["sources"] >= FINAL_SOURCES}
-            out.append(judge(r, stats, longer, closing, bool(r["spike"])))
+            out.append(judge(r, stats, longer, bool(r["spike"])))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "reason"])
 
 
@@ -252,27 +227,26 @@ def limits(documents: DataFrame, least: int = 4, ratio: float = 8.0, around: int
 
 
 def truncated(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, reason) of each cut text; reason is limit, tail, above, marked, broken, record or copy.
+    """(doc_id, source, reason) of each cut text; reason is limit, tail, marked, broken, record or copy.
 
     marked: a system's marker stands behind the cut; broken: it ends in a
     replacement character; record: a record opened and never closed; tail: its
-    last words go on elsewhere; above: the same, seen above a closing line;
-    limit: at a length spike of its source without a terminal mark; copy: equal
-    to a text cut by one of these. Null, empty and blank texts are complete;
+    last words go on elsewhere; limit: at a length spike of its source without a
+    terminal mark; copy: equal to a text cut by one of these. Null, empty and blank texts are complete;
     repeated rows are reported once per doc_id.
     """
     scratch = Scratch(documents.sparkSession)
     docs = documents.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("doc_id", "text", "source")
     docs = spread(docs)
-    seen = docs.select("text", "source").mapInArrow(_observations, "key bigint, before bigint, last string, t bigint, w bigint, c bigint, n bigint, e bigint, l bigint, source string")
+    seen = docs.select("text", "source").mapInArrow(_observations, "key bigint, before bigint, last string, t bigint, w bigint, c bigint, n bigint, e bigint, source string")
     # one row per context and source first: sources are counted as rows, and no context's rows meet unsummed
-    summed = seen.groupBy("key", "source").agg(*[F.sum(k).alias(k) for k in "twcnel"], F.first("before").alias("before"), F.first("last").alias("last"))
-    stats = scratch.write(summed.groupBy("key").agg(*[F.sum(k).alias(k) for k in "twcnel"], F.count("source").alias("sources"), F.first("before").alias("before"), F.first("last").alias("last")), "stats")
+    summed = seen.groupBy("key", "source").agg(*[F.sum(k).alias(k) for k in "twcne"], F.first("before").alias("before"), F.first("last").alias("last"))
+    stats = scratch.write(summed.groupBy("key").agg(*[F.sum(k).alias(k) for k in "twcne"], F.count("source").alias("sources"), F.first("before").alias("before"), F.first("last").alias("last")), "stats")
     ended = scratch.write(docs.select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(_ends_of, _ENDS), "ends")
 
-    point = ended.select("doc_id", F.explode("points").alias("p"))
-    keys = point.select("doc_id", F.explode(F.concat(F.array("p.line"), "p.keys")).alias("key")).distinct()
-    own = keys.join(stats.drop("before", "last"), "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", *"twcnel", "sources")).alias("stats"))  # at most POINTS * (ORDERS + 1) a text
+    point = ended.where("point IS NOT NULL").select("doc_id", F.col("point").alias("p"))
+    keys = point.select("doc_id", F.explode("p.keys").alias("key")).distinct()
+    own = keys.join(stats.drop("before", "last"), "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", *"twcne", "sources")).alias("stats"))  # at most ORDERS a text
     asked = point.select("doc_id", F.explode("p.before").alias("before"), F.col("p.last").alias("last")).distinct()
     # how often the same words before go on with a longer word: beginnings of each word seen, only where some text asks
     starts = stats.where("last <> ''").join(asked.select("before").distinct(), "before", "left_semi").select("before", (F.col("t") + F.col("w") + F.col("c") + F.col("n")).alias("n"), F.explode(F.expr("transform(sequence(1, greatest(1, least(length(last) - 1, 40))), k -> substring(last, 1, k))")).alias("start"), "last").where("start <> last")
