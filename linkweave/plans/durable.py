@@ -35,6 +35,13 @@ class Scratch:
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/linkweave-{uuid.uuid4().hex}"
         self.made = 0
+        at = self._path(self.root)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)  # with the session; results read these tables until then
+
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.made += 1
@@ -47,8 +54,7 @@ class Scratch:
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
+            at = self._path(path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
