@@ -233,7 +233,8 @@ def truncated(documents: DataFrame) -> DataFrame:
     replacement character; record: a record opened and never closed; tail: its
     last words go on elsewhere; limit: at a length spike of its source without a
     terminal mark; copy: equal to a text cut by one of these. Null, empty and blank texts are complete;
-    repeated rows are reported once per doc_id.
+    repeated rows are reported once per doc_id; rows without a doc_id count in
+    the statistics but can't be reported.
     """
     scratch = Scratch(documents.sparkSession)
     docs = documents.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("doc_id", "text", "source")
