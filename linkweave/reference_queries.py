@@ -258,7 +258,7 @@ def ref_shared_slice(spark, d):
 def ref_device_slice_meta(spark, d):
     b = Base(spark, d)
     m = X.meta(b.rows, b.inside)
-    return m.select("candidate_id", "n_transactions", F.round("score_mean", 9).alias("score_mean"), r6("score_max"), F.round("score_cashout_mean", 9).alias("score_cashout_mean"), r6("min_amount"), r6("max_amount"), "window_start", "window_end", "probe_ids", "cashout_ids", "shared_devices")
+    return m.select("candidate_id", "n_transactions", F.round("score_mean", 12).alias("score_mean"), r6("score_max"), F.round("score_cashout_mean", 12).alias("score_cashout_mean"), r6("min_amount"), r6("max_amount"), "window_start", "window_end", "probe_ids", "cashout_ids", "shared_devices")
 
 
 def ref_timeline(spark, d):
@@ -402,7 +402,7 @@ def ref_composite(spark, d):
     up = b.rows.groupBy("candidate_id").agg(F.max("vulcan_score").alias("upstream"))
     own = X.identity_features(b.rows, b.members.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"))).select("candidate_id", F.col("cand_ego_overlap_ratio").alias("own"))
     rows = up.join(own, "candidate_id").withColumn("boost", F.when(F.col("own") > 0.5, M.BOOST).otherwise(0.0)).withColumn("damp", F.when(F.col("upstream") < 0.3, M.DAMP).otherwise(0.0))
-    return scoring.scored(rows).select("candidate_id", *[F.round(c, 9).alias(c) for c in ("composite", "plain", "delta", "confidence")])
+    return scoring.scored(rows).select("candidate_id", *[F.round(c, 12).alias(c) for c in ("composite", "plain", "delta", "confidence")])
 
 
 def ref_alert_queue(spark, d):

@@ -79,10 +79,10 @@ _CLAIMS = [("probe_fraction", "> 0.05"), ("cashout_fraction", "> 0.02"), ("amoun
 QUERIES: dict[str, str] = {
     "set_measures": "SELECT candidate_id, ref_id, round(c / (n + size - c), 6) AS jaccard, round(c / size, 6) AS covered FROM overlap JOIN csize USING (candidate_id)",
     "cosine_histogram": "SELECT CAST(floor(round(list_cosine_similarity(q.v, c.v), 9) * 50) AS BIGINT) AS step, count(*) AS n FROM vec q, vec c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id GROUP BY step",
-    "alert_page": "SELECT candidate_id, round(composite, 9) AS composite FROM scored WHERE round(composite, 9) >= 0.5 ORDER BY round(composite, 9) DESC, candidate_id LIMIT 20 OFFSET 20",
+    "alert_page": "SELECT candidate_id, round(composite, 12) AS composite FROM scored WHERE round(composite, 12) >= 0.5 ORDER BY round(composite, 12) DESC, candidate_id LIMIT 20 OFFSET 20",
     "case_counts": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
     "audit_tail": "SELECT event_id, epoch_us(ts) AS at_us, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
-    "failure_recovery": "SELECT candidate_id, round(plain, 9) AS without_memory, round(composite, 9) AS with_memory, round(composite - plain, 9) AS delta FROM scored WHERE round(composite - plain, 9) < 0",
+    "failure_recovery": "SELECT candidate_id, round(plain, 12) AS without_memory, round(composite, 12) AS with_memory, round(composite - plain, 12) AS delta FROM scored WHERE round(composite - plain, 12) < 0",
     "merchant_tickets": "SELECT merchant_id, coalesce(avg(amount) < 50, false) AS small FROM txn WHERE merchant_id IS NOT NULL GROUP BY merchant_id",
     "txn_view": "SELECT transaction_id, card_id, merchant_id, round(amount, 6) AS amount, ts, device_fingerprint, ip_address, email_hash, vulcan_score, txn_role FROM txn",
     "pair_counts": "SELECT * FROM pair",
@@ -106,7 +106,7 @@ QUERIES: dict[str, str] = {
     "set_recall": "SELECT s.source, (SELECT count(DISTINCT ref_id) FROM ref) AS n_sets, count(DISTINCT ref_id) FILTER (c * 2 > size) AS n_covered FROM (SELECT unnest(['ego', 'cc', 'louvain', 'all']) AS source) s LEFT JOIN (SELECT o.*, k.source FROM overlap o JOIN (SELECT candidate_id, min(source) AS source FROM candidates GROUP BY candidate_id) k USING (candidate_id)) o ON s.source = o.source OR s.source = 'all' GROUP BY s.source",
     "shared_slice": "SELECT candidate_id, transaction_id FROM slice3",
     "timeline": "SELECT candidate_id, transaction_id, CASE WHEN amount < 10 THEN 'probe' WHEN amount > 10000 THEN 'cashout' ELSE 'other' END AS tag FROM slice2",
-    "device_slice_meta": """SELECT b.candidate_id, n_transactions, round(score_mean, 9) AS score_mean, round(score_max, 6) AS score_max, round(score_cashout_mean, 9) AS score_cashout_mean, round(min_amount, 6) AS min_amount, round(max_amount, 6) AS max_amount, window_start, window_end, coalesce(probe_ids, '') AS probe_ids, coalesce(cashout_ids, '') AS cashout_ids, coalesce(shared_devices, '') AS shared_devices
+    "device_slice_meta": """SELECT b.candidate_id, n_transactions, round(score_mean, 12) AS score_mean, round(score_max, 6) AS score_max, round(score_cashout_mean, 12) AS score_cashout_mean, round(min_amount, 6) AS min_amount, round(max_amount, 6) AS max_amount, window_start, window_end, coalesce(probe_ids, '') AS probe_ids, coalesce(cashout_ids, '') AS cashout_ids, coalesce(shared_devices, '') AS shared_devices
       FROM (SELECT candidate_id, count(*) AS n_transactions, avg(vulcan_score) AS score_mean, max(vulcan_score) AS score_max, avg(vulcan_score) FILTER (amount > 10000) AS score_cashout_mean, min(amount) AS min_amount, max(amount) AS max_amount, min(ts) AS window_start, max(ts) AS window_end FROM slice1 GROUP BY candidate_id) b
       LEFT JOIN (SELECT candidate_id, string_agg(transaction_id, ',' ORDER BY no) FILTER (kind = 'probe') AS probe_ids, string_agg(transaction_id, ',' ORDER BY no) FILTER (kind = 'cashout') AS cashout_ids FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id, kind ORDER BY card_id, ts NULLS FIRST, transaction_id) AS no FROM (SELECT *, CASE WHEN amount < 10 THEN 'probe' WHEN amount > 10000 THEN 'cashout' END AS kind FROM slice1) WHERE kind IS NOT NULL) WHERE no <= 5 GROUP BY candidate_id) k USING (candidate_id)
       LEFT JOIN (SELECT candidate_id, string_agg(value, ',' ORDER BY value) AS shared_devices FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY value) AS no FROM cshared WHERE attribute = 'device_fingerprint') WHERE no <= 10 GROUP BY candidate_id) v USING (candidate_id)""",
@@ -142,8 +142,8 @@ QUERIES: dict[str, str] = {
     "cosine_topk": "SELECT query_id, case_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, case_id) AS no FROM (SELECT q.vec_id AS query_id, c.vec_id AS case_id, round(list_cosine_similarity(q.v, c.v), 9) AS similarity FROM vec q, vec c WHERE q.vec_id % 20 = 0) WHERE similarity >= 0.1) WHERE no <= 3",
     "memory_adjustments": "SELECT q.vec_id AS query_id, max(CASE WHEN c.label = 0 AND s >= 0.3 THEN 0.15 ELSE 0 END)::DOUBLE AS boost, max(CASE WHEN c.label = 1 AND s >= 0.3 THEN 0.2 ELSE 0 END)::DOUBLE AS damp FROM (SELECT q.vec_id, c.label, round(list_cosine_similarity(q.v, c.v), 9) AS s FROM vec q, vec c WHERE q.vec_id % 20 = 0) x(vec_id, label, s) JOIN vec q USING (vec_id) JOIN (SELECT DISTINCT label FROM vec) c ON c.label = x.label GROUP BY q.vec_id",
     "latest_rows": "SELECT user_id, at_us, event_id, event_type FROM (SELECT user_id, epoch_us(ts) AS at_us, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, event_type DESC) AS no FROM events) WHERE no = 1",
-    "composite": "SELECT candidate_id, round(composite, 9) AS composite, round(plain, 9) AS plain, round(composite - plain, 9) AS delta, round(confidence, 9) AS confidence FROM scored",
-    "alert_queue": "SELECT candidate_id, round(composite, 9) AS composite FROM scored ORDER BY round(composite, 9) DESC, candidate_id LIMIT 40",
+    "composite": "SELECT candidate_id, round(composite, 12) AS composite, round(plain, 12) AS plain, round(composite - plain, 12) AS delta, round(confidence, 12) AS confidence FROM scored",
+    "alert_queue": "SELECT candidate_id, round(composite, 12) AS composite FROM scored ORDER BY round(composite, 12) DESC, candidate_id LIMIT 40",
     "evidence": "SELECT candidate_id, attribute, value, cards, no, citations FROM evidence_top JOIN evidence_ref USING (candidate_id, attribute, value)",
     "behavioural_evidence": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT candidate_id, '{f}' AS claim, round({f}, 4) AS value FROM behave_all WHERE {f} {bar}" for f, bar in _CLAIMS) + ")",
     "dossier_quality": "SELECT candidate_id, count(*) AS claims, 0::BIGINT AS uncited, round(sum(refs) / count(*), 6) AS refs_per_claim FROM evidence_top JOIN evidence_ref USING (candidate_id, attribute, value) GROUP BY candidate_id",
