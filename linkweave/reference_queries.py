@@ -112,9 +112,15 @@ class Base:
 
     @property
     def sets(self):
-        """Ego and component candidates within the size window."""
+        """Ego, component and community candidates within the size window."""
         parts = G.components(G.at_floors(self.edges, FLOORS), "floor")
-        return self.once("sets", lambda: C.within_sizes(C.ego_sets(self.groups).unionByName(C.component_sets(parts))), write=True)
+        sets = lambda: C.ego_sets(self.groups).unionByName(C.component_sets(parts)).unionByName(C.community_sets(self.communities))
+        return self.once("sets", lambda: C.within_sizes(sets()), write=True)
+
+    @property
+    def communities(self):
+        e = self.edges.select(F.col("card_a").alias("a"), F.col("card_b").alias("b"), "weight")
+        return self.once("communities", lambda: G.communities(e, RESOLUTIONS))
 
     @property
     def predictions(self):
@@ -212,8 +218,9 @@ def ref_component_candidates(spark, d):
 
 
 def ref_jaccard_pairs(spark, d):
+    """Pairs of ego candidates, as its SQL has them; dedup_kept compares those of every source."""
     b = Base(spark, d)
-    return C.overlapping(b.sets.where("source = 'ego'")).select(F.col("a").alias("candidate_a"), F.col("b").alias("candidate_b"), r6("jaccard"))
+    return C.overlapping(C.within_sizes(C.ego_sets(b.groups))).select(F.col("a").alias("candidate_a"), F.col("b").alias("candidate_b"), r6("jaccard"))
 
 
 def ref_dedup_kept(spark, d):
@@ -221,9 +228,7 @@ def ref_dedup_kept(spark, d):
 
 
 def ref_louvain(spark, d):
-    b = Base(spark, d)
-    e = b.edges.select(F.col("card_a").alias("a"), F.col("card_b").alias("b"), "weight")
-    return G.communities(e, RESOLUTIONS)
+    return Base(spark, d).communities
 
 
 def ref_candidate_world(spark, d):
