@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.plans.durable import Scratch
 
+#: A vertex changes its community for a gain in linked weight of more than this.
+LEAST_GAIN = 1e-9
+
 
 def _mark(df: DataFrame) -> tuple:
     h = lambda seed: F.sum(F.xxhash64(F.lit(seed), *df.columns).cast("decimal(38,0)"))
@@ -152,15 +155,19 @@ def structure(members: DataFrame, edges: DataFrame, n_vertices: int, n_edges: in
     return plain.join(clustering(members, inner).withColumnRenamed("coefficient", "cand_clustering_coeff"), "candidate_id").join(shape, "candidate_id")
 
 
-def communities(edges: DataFrame, resolutions: list[float], levels: int = 2, rounds: int = 4) -> DataFrame:
+def communities(edges: DataFrame, resolutions: list[float], max_levels: int = 64, max_rounds: int = 512) -> DataFrame:
     """(resolution, vertex, community): modularity communities of the weighted edges (a, b, weight) at each resolution.
 
     Local moving by joins, all resolutions in one loop: in a round every vertex
-    of one hash half looks at its neighbours' communities and takes the one with
-    the largest gain; moving half of the vertices at a time keeps neighbours
-    from swapping. Then communities become vertices of the next level. Equal
-    gains go to the smaller name, so results are repeatable. No task ever holds
-    a component.
+    looks at its neighbours' communities for the largest gain over its own.
+    Those of one hash half move; moving half of the vertices at a time keeps
+    neighbours from swapping. Once the number of vertices that would gain no
+    longer falls by a fifth a round, only moves that share no community with a
+    larger one are made: their gains add up, so modularity rises with each round
+    and the loop ends. A level ends when no vertex would gain more than LEAST_GAIN; then
+    communities become vertices of the next level, until a level moves nothing.
+    At either bound this raises. Equal gains go to the smaller name, so results
+    are repeatable. No task ever holds a component.
     """
     scratch = Scratch(edges.sparkSession)
     base = edges.select(F.explode(F.array(*map(F.lit, resolutions))).alias("r"), "a", "b", "weight")
@@ -168,34 +175,56 @@ def communities(edges: DataFrame, resolutions: list[float], levels: int = 2, rou
     arcs = scratch.write(base.unionByName(base.select("r", F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "arcs")
     whole = arcs.where(F.col("r") == resolutions[0]).agg(F.sum("weight").alias("w")).first()["w"] or 1.0
     member = None
-    for level in range(levels):
-        degree = scratch.write(arcs.groupBy("r", "a").agg(F.sum("weight").alias("k")), "degree")
-        label = scratch.write(degree.select("r", F.col("a").alias("v"), F.col("a").alias("c")), "label")
-        for no in range(rounds):
-            k = degree.withColumnRenamed("a", "v")
-            total = label.join(k, ["r", "v"]).groupBy("r", "c").agg(F.sum("k").alias("total"))
-            moving = F.pmod(F.xxhash64(F.lit(level * rounds + no), "v"), F.lit(2)) == 0
-            near = arcs.where("a <> b").join(label.select("r", F.col("v").alias("b"), "c"), ["r", "b"]).groupBy("r", F.col("a").alias("v"), "c").agg(F.sum("weight").alias("to"))
-            own = label.withColumn("to", F.lit(0.0))
-            options = near.unionByName(own.select("r", "v", "c", "to")).groupBy("r", "v", "c").agg(F.sum("to").alias("to")).where(moving)
-            full = options.join(total, ["r", "c"]).join(k, ["r", "v"]).join(label.select("r", "v", F.col("c").alias("now")), ["r", "v"])
-            inside = F.when(F.col("c") == F.col("now"), F.col("total") - F.col("k")).otherwise(F.col("total"))
-            gain = F.round(F.col("to") - F.col("r") * F.col("k") * inside / whole, 12)
-            w = Window.partitionBy("r", "v").orderBy(F.desc("gain"), F.desc(F.col("c") == F.col("now")), "c")
-            best = full.withColumn("gain", gain).withColumn("no", F.row_number().over(w)).where("no = 1").select("r", "v", "c")
-            after = scratch.write(best.unionByName(label.where(~moving)), "label")
+    for level in range(max_levels):
+        degree = scratch.write(arcs.groupBy("r", F.col("a").alias("v")).agg(F.sum("weight").alias("k")), "degree")
+        label = scratch.write(degree.select("r", "v", F.col("v").alias("c")), "label")
+        least, apart, moved = None, False, False
+        for no in range(max_rounds):
+            wish = scratch.write(_wishes(arcs, label, degree, whole), "wish")
+            n = wish.count()
+            if not n:
+                break
+            apart = apart or (least is not None and n > 0.8 * least)
+            least, moved = n, True
+            go = _apart(wish) if apart else wish.where(F.pmod(F.xxhash64(F.lit(level * max_rounds + no), "v"), F.lit(2)) == 0)
+            after = scratch.write(label.join(go.select("r", "v", F.col("c").alias("to")), ["r", "v"], "left").select("r", "v", F.coalesce("to", "c").alias("c")), "label")
             scratch.drop(label)
+            scratch.drop(wish)
             label = after
+        else:
+            raise RuntimeError(f"communities still move after {max_rounds} rounds")
         if member is None:
             member = label.select("r", F.col("v").alias("vertex"), F.col("c").alias("community"))
-        else:
+        elif moved:
             up = label.select("r", F.col("v").alias("community"), F.col("c").alias("next"))
-            member = member.join(up, ["r", "community"]).select("r", "vertex", F.col("next").alias("community"))
-        if level + 1 < levels:
-            x = label.select("r", F.col("v").alias("a"), F.col("c").alias("ca"))
-            y = label.select("r", F.col("v").alias("b"), F.col("c").alias("cb"))
-            arcs = scratch.write(arcs.join(x, ["r", "a"]).join(y, ["r", "b"]).groupBy("r", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")), "arcs")
-    return member.withColumnRenamed("r", "resolution")
+            member = scratch.write(member.join(up, ["r", "community"]).select("r", "vertex", F.col("next").alias("community")), "member")
+        if not moved:
+            return member.withColumnRenamed("r", "resolution")
+        x = label.select("r", F.col("v").alias("a"), F.col("c").alias("ca"))
+        y = label.select("r", F.col("v").alias("b"), F.col("c").alias("cb"))
+        merged = scratch.write(arcs.join(x, ["r", "a"]).join(y, ["r", "b"]).groupBy("r", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")), "arcs")
+        scratch.drop(arcs)
+        arcs = merged
+    raise RuntimeError(f"communities still merge after {max_levels} levels")
+
+
+def _wishes(arcs: DataFrame, label: DataFrame, degree: DataFrame, whole: float) -> DataFrame:
+    """(r, v, now, c, more): each vertex that gains by leaving community now for c, and by how much."""
+    total = label.join(degree, ["r", "v"]).groupBy("r", "c").agg(F.sum("k").alias("total"))
+    near = arcs.where("a <> b").join(label.select("r", F.col("v").alias("b"), "c"), ["r", "b"]).select("r", F.col("a").alias("v"), "c", "weight")
+    options = near.unionByName(label.withColumn("weight", F.lit(0.0))).groupBy("r", "v", "c").agg(F.sum("weight").alias("to"))
+    full = options.join(total, ["r", "c"]).join(degree, ["r", "v"]).join(label.select("r", "v", F.col("c").alias("now")), ["r", "v"])
+    inside = F.when(F.col("c") == F.col("now"), F.col("total") - F.col("k")).otherwise(F.col("total"))
+    gain = F.round(F.col("to") - F.col("r") * F.col("k") * inside / whole, 12)
+    best = full.withColumn("gain", gain).groupBy("r", "v", "now").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "c")).alias("best"), F.max(F.when(F.col("c") == F.col("now"), F.col("gain"))).alias("own"))
+    return best.select("r", "v", "now", "best.c", (-F.col("best.loss") - F.col("own")).alias("more")).where((F.col("c") != F.col("now")) & (F.col("more") > LEAST_GAIN))
+
+
+def _apart(wish: DataFrame) -> DataFrame:
+    """(r, v, c) of the moves that are the largest, of equal ones the first by name, in both communities they touch."""
+    ends = wish.select("r", F.explode(F.array("now", "c")).alias("at"), F.struct((-F.col("more")).alias("less"), "v").alias("rank"))
+    first = ends.groupBy("r", "at").agg(F.min("rank")["v"].alias("v"))
+    return wish.join(first.groupBy("r", "v").agg(F.count(F.lit(1)).alias("n")), ["r", "v"]).where("n = 2").select("r", "v", "c")
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

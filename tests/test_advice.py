@@ -1,7 +1,10 @@
 import itertools
+import random
+from collections import defaultdict
 
 from linkweave import reference_queries as Q
 from linkweave.operators import candidates as C
+from linkweave.operators import graph
 
 
 def test_sets_hold_communities_of_large_components(spark):
@@ -16,3 +19,23 @@ def test_sets_hold_communities_of_large_components(spark):
     assert all(C.SIZES[0] <= len(r["cards"]) <= C.SIZES[1] for r in sets)
     assert [f"C07{i}" for i in range(5)] in [r["cards"] for r in sets]
     assert any(r["candidate_id"].startswith("louvain:") and r["kept"] for r in C.deduplicate(b.sets).collect())
+
+
+def test_no_vertex_gains_after_communities(spark):
+    """Rings of 40 with chords: four rounds and two levels leave vertices that would still gain by moving."""
+    rnd = random.Random(11)
+    e = {(i, (i + 1) % 400) for i in range(400)} | {(i, i + rnd.randrange(2, 6)) for i in range(394)} | {tuple(rnd.sample(range(400), 2)) for _ in range(30)}
+    rows = sorted({(f"v{min(x):03d}", f"v{max(x):03d}", 1.0 + (sum(x) % 5) / 10) for x in e})
+    df = spark.createDataFrame(rows, "a string, b string, weight double").cache()
+    for g in (0.5, 2.0):
+        label = {r["vertex"]: r["community"] for r in graph.communities(df, [g]).collect()}
+        assert len(label) == 400
+        near, k, total = defaultdict(float), defaultdict(float), defaultdict(float)
+        for a, b, w in rows:
+            for x, y in ((a, b), (b, a)):
+                k[x] += w
+                total[label[x]] += w
+                near[label[x], label[y]] += w
+        whole = sum(k.values())
+        # no two communities gain by merging, which ends the last level
+        assert all(w - g * total[x] * total[y] / whole <= 1e-6 for (x, y), w in near.items() if x != y)
