@@ -2,9 +2,11 @@ import itertools
 import random
 from collections import defaultdict
 
+import pytest
+
 from linkweave import reference_queries as Q
 from linkweave.operators import candidates as C
-from linkweave.operators import graph
+from linkweave.operators import graph, scoring
 
 
 def test_sets_hold_communities_of_large_components(spark):
@@ -39,3 +41,16 @@ def test_no_vertex_gains_after_communities(spark):
         whole = sum(k.values())
         # no two communities gain by merging, which ends the last level
         assert all(w - g * total[x] * total[y] / whole <= 1e-6 for (x, y), w in near.items() if x != y)
+
+
+def test_composite_reads_case_memory(spark):
+    """Features to signatures to nearest cases to adjustments: a confirmed false positive lowers, a confirmed ring raises."""
+    rows = [("A", 5.0, 0.9, 100.0), ("B", 2.0, 0.1, 3.0), ("C", 40.0, 0.0, 0.0), ("D", 9.0, 0.4, 7.0)]
+    f = spark.createDataFrame(rows, "candidate_id string, x double, y double, z double")
+    cases = spark.createDataFrame([("ring", True, 5.0, 0.9, 99.0), ("false", False, 40.0, 0.0, 0.0)], "case_id string, fraud boolean, x double, y double, z double")
+    up = spark.createDataFrame([("A", 0.2), ("B", 0.2), ("C", 0.2)], "candidate_id string, upstream double")
+    own = spark.createDataFrame([(c, 0.5) for c in "ABCD"], "candidate_id string, p double")
+    got = {r["candidate_id"]: r for r in scoring.with_memory(f, ["x", "y", "z"], up, own, cases).collect()}
+    assert {c: (r["boost"], r["damp"]) for c, r in got.items()} == {"A": (0.15, 0.0), "B": (0.0, 0.0), "C": (0.0, 0.2), "D": (0.0, 0.0)}
+    assert got["A"]["composite"] == pytest.approx(0.6 * 1.15) and got["C"]["composite"] == pytest.approx(0.6 * 0.8)
+    assert got["C"]["delta"] < 0 == got["B"]["delta"] and got["D"]["composite"] == pytest.approx(0.5)
