@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -10,6 +11,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkweave.operators import evaluation
+from linkweave.plans.durable import Scratch
+
+#: Folds fitted at the same time; each is a chain of short jobs.
+AT_ONCE = 6
+
 
 def assemble(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows with a features vector; missing values are 0."""
@@ -35,24 +42,42 @@ def predict(model: GBTClassificationModel | None, rows: DataFrame, columns: list
 
 def cross_validate(rows: DataFrame, columns: list[str], fold: str = "fold", **options) -> DataFrame:
     """Out-of-fold predictions: each fold is scored by a model of the others; where those lack a class p is 0."""
-    out = None
-    for r in rows.select(fold).distinct().orderBy(fold).collect():
-        held = F.col(fold) == r[fold]
-        part = predict(fit(rows.where(~held), columns, **options), rows.where(held), columns)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else rows.withColumn("p", F.lit(0.0))
+    scratch = Scratch(rows.sparkSession)
+
+    def one(no, value):
+        held = F.col(fold) == value
+        return scratch.write(predict(fit(rows.where(~held), columns, **options), rows.where(held), columns), f"fold{no}")
+
+    values = [r[fold] for r in rows.select(fold).distinct().orderBy(fold).collect()]
+    if not values:
+        return rows.withColumn("p", F.lit(0.0))
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        parts = list(pool.map(one, range(len(values)), values))
+    return rows.sparkSession.read.schema(parts[0].schema).parquet(*[x._scratch_path for x in parts])
 
 
 def ablation(rows: DataFrame, families: dict[str, list[str]], fold: str = "fold", **options) -> DataFrame:
-    """Out-of-fold predictions without each family of columns, tagged by it."""
+    """Out-of-fold predictions with all columns (without is "nothing") and without each family of columns, tagged by it."""
     out = None
-    for name, gone in families.items():
+    for name in ("nothing", *families):
         kept = [c for f, cs in families.items() if f != name for c in cs]
         part = cross_validate(rows, kept, fold, **options).select("candidate_id", fold, "y", "p", F.lit(name).alias("without"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def ablation_deltas(scores: DataFrame, families: dict[str, list[str]], fn_cost: float, fp_cost: float) -> DataFrame:
+    """(without, n_features, average_precision, cost, precision_delta, cost_delta) of ablation's scores: over all folds together, at each one's cheapest threshold, against the model with all columns."""
+    whole, out = sum(map(len, families.values())), None
+    for name in ("nothing", *families):
+        pred = scores.where(F.col("without") == name)
+        cost = evaluation.best_thresholds(evaluation.sweep(pred, fn_cost, fp_cost)).select(F.lit(name).alias("without"), F.lit(whole - len(families.get(name, ()))).cast("bigint").alias("n_features"), F.col("least_cost").alias("cost"))
+        part = cost.join(evaluation.ranking(pred, "without").select("without", "average_precision"), "without", "left")
+        out = part if out is None else out.unionByName(part)
+    base = out.where("without = 'nothing'").select(F.col("average_precision").alias("ap"), F.col("cost").alias("c"))
+    return out.crossJoin(F.broadcast(base)).select("without", "n_features", "average_precision", "cost", (F.col("average_precision") - F.col("ap")).alias("precision_delta"), (F.col("cost") - F.col("c")).alias("cost_delta"))  # base is one row
+
+
 def importance(model: GBTClassificationModel, columns: list[str], spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())], "feature string, importance double")
 

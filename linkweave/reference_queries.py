@@ -441,21 +441,25 @@ def ref_rolling_bursts(spark, d):
     return w.select(F.unix_seconds("start").alias("start_s"), "card_id", "n", r6("total"), r6("most"))
 
 
-def ref_gbt_oof(spark, d):
-    """Out-of-fold scores of the candidates, folds by world, labels from the reference sets."""
+def _training(spark, d):
+    """Features, labels from the reference sets, and the world as fold."""
     b = Base(spark, d)
-    names = [*X.STRUCTURAL, *X.IDENTITY, *X.BEHAVIOURAL]
-    f = ref_features(spark, d).join(ref_candidate_labels(spark, d).select("candidate_id", F.col("is_match").cast("int").alias("y")), "candidate_id").join(C.worlds(b.members, b.card_world).select("candidate_id", F.pmod("world_id", F.lit(3)).alias("fold")), "candidate_id")
-    oof = model.cross_validate(materialize(f, "training"), names, trees=5, depth=3)
+    worlds = C.worlds(b.members, b.card_world).select("candidate_id", F.col("world_id").alias("fold"))
+    f = ref_features(spark, d).join(ref_candidate_labels(spark, d).select("candidate_id", F.col("is_match").cast("int").alias("y")), "candidate_id").join(worlds, "candidate_id")
+    return materialize(f, "training")
+
+
+def ref_gbt_oof(spark, d):
+    """Out-of-fold scores of the candidates, one world left out at a time."""
+    oof = model.cross_validate(_training(spark, d), [*X.STRUCTURAL, *X.IDENTITY, *X.BEHAVIOURAL])
     return oof.select("candidate_id", "fold", "y", "p")
 
 
 def ref_ablation(spark, d):
-    """Out-of-fold scores without each family of columns."""
-    b = Base(spark, d)
-    f = ref_features(spark, d).join(ref_candidate_labels(spark, d).select("candidate_id", F.col("is_match").cast("int").alias("y")), "candidate_id").join(C.worlds(b.members, b.card_world).select("candidate_id", F.pmod("world_id", F.lit(2)).alias("fold")), "candidate_id")
+    """Average precision and least cost with all columns and without each family, one world left out at a time."""
     families = {"structural": list(X.STRUCTURAL), "identity": list(X.IDENTITY), "behavioural": list(X.BEHAVIOURAL)}
-    return model.ablation(materialize(f, "training"), families, trees=3, depth=2)
+    scores = model.ablation(_training(spark, d), families)
+    return model.ablation_deltas(scores, families, FN_COST, FP_COST)
 
 
 def ref_set_measures(spark, d):
