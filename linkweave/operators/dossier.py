@@ -30,6 +30,48 @@ def behavioural_evidence(features: DataFrame) -> DataFrame:
     return features.select("candidate_id", F.explode(F.array_compact(F.array(*claims))).alias("c")).select("candidate_id", "c.*")
 
 
+def _listed(c: str, most: int):
+    """How many of the first `most` ids a comma list has."""
+    return F.when(F.coalesce(c, F.lit("")) == "", 0).otherwise(F.least(F.size(F.split(c, ",")), F.lit(most)))
+
+
+def supported(behavioural: DataFrame, meta: DataFrame) -> DataFrame:
+    """behavioural evidence as (candidate_id, claim, citation_id, supports): the transactions and merchants of features.meta behind each claim. An escalation is cited by its first transaction."""
+    pair = F.concat_ws(",", *[F.nullif(F.concat_ws(",", F.slice(F.split(c, ","), 1, 2)), F.lit("")) for c in ("probe_ids", "cashout_ids")])
+    full = behavioural.join(meta.select("candidate_id", "probe_ids", "cashout_ids", "probe_merchants", pair.alias("both")), "candidate_id", "left")
+    claim = F.col("claim")
+    supports = F.when(claim == "probe_fraction", _listed("probe_ids", 4)).when(claim == "cashout_fraction", _listed("cashout_ids", 4)).when(claim == "amount_escalation", F.greatest(_listed("both", 4) - 1, F.lit(0))).when(claim == "burst_compression", 2).when(claim == "probe_to_cashout_gap_hours", _listed("probe_ids", 1) + _listed("cashout_ids", 1)).otherwise(_listed("probe_merchants", 3))
+    first = F.when((claim == "amount_escalation") & (F.coalesce("both", F.lit("")) != ""), F.concat(F.lit("txn:"), F.element_at(F.split("both", ","), 1))).otherwise(F.col("citation_id"))
+    return full.select("candidate_id", "claim", first.alias("citation_id"), supports.alias("supports"))
+
+
+def structural_evidence(features: DataFrame) -> DataFrame:
+    """(candidate_id, claim, citation_id, supports): size and density of each candidate, backed by size, ego overlap and clustering."""
+    return features.select("candidate_id", F.lit("cand_density").alias("claim"), F.format_string("feature:cand_density=%.4f", F.col("cand_density").cast("double")).alias("citation_id"), F.lit(3).alias("supports"))
+
+
+def score_evidence(scored: DataFrame, meta: DataFrame) -> DataFrame:
+    """(candidate_id, claim, citation_id, supports): the upstream score of each row of scoring.scored, backed by its own score and up to two cashouts."""
+    full = scored.join(meta.select("candidate_id", "cashout_ids"), "candidate_id", "left")
+    return full.select("candidate_id", F.lit("composite").alias("claim"), F.format_string("vulcan:%.4f", F.coalesce("upstream", F.lit(0.0))).alias("citation_id"), (1 + _listed("cashout_ids", 2)).alias("supports"))
+
+
+def memory_evidence(fraud: DataFrame, false: DataFrame, top: int = 2) -> DataFrame:
+    """(candidate_id, claim, citation_id, supports): the `top` nearest confirmed rings and false positives of memory.nearest, each with its disposition."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "case_id")
+    of = lambda near, claim: near.withColumn("no", F.row_number().over(w)).where(F.col("no") <= top).select(F.col("query_id").alias("candidate_id"), F.lit(claim).alias("claim"), F.concat(F.lit("case:"), F.col("case_id").cast("string")).alias("citation_id"), F.lit(1).alias("supports"))
+    return of(fraud, "precedent").unionByName(of(false, "false_positive"))
+
+
+def assemble(graph: DataFrame, *others: DataFrame) -> DataFrame:
+    """(candidate_id, claim, citation_id, supports) of graph_evidence and the other kinds; an uncited claim fails the job."""
+    refs = F.split("citations", ";")
+    out = graph.select("candidate_id", F.concat_ws("=", "attribute", "value").alias("claim"), F.element_at(refs, 1).alias("citation_id"), (F.size(refs) - 1).alias("supports"))
+    for x in others:
+        out = out.unionByName(x)
+    return reject_uncited(out)
+
+
 def reject_uncited(evidence: DataFrame) -> DataFrame:
     """The evidence; a blank citation fails the job when the row is read."""
     blank = F.coalesce(F.trim("citation_id"), F.lit("")) == ""

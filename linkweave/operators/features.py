@@ -128,15 +128,16 @@ def features(members: DataFrame, txn: DataFrame, small: DataFrame, edges: DataFr
 
 
 def meta(rows: DataFrame, shared: DataFrame) -> DataFrame:
-    """Per candidate over its device slice: transactions, score mean and maximum, mean score of cashouts, window, amounts, the first 5 probe and cashout ids by card, time and id, up to 10 shared devices."""
+    """Per candidate over its device slice: transactions, score mean and maximum, mean score of cashouts, window, amounts, the first 5 probe and cashout ids by card, time and id, the merchants of the first 20, up to 10 shared devices."""
     r = shared_slice(rows, shared, ("device_fingerprint",))
     probe, cash = F.col("amount") < PROBE_BELOW, F.col("amount") > CASHOUT_ABOVE
     w = Window.partitionBy("candidate_id", "kind").orderBy("card_id", "ts", "transaction_id")
-    kinds = r.withColumn("kind", F.when(probe, "probe").when(cash, "cashout")).where("kind IS NOT NULL").withColumn("no", F.row_number().over(w)).where("no <= 5")
-    ids = kinds.groupBy("candidate_id").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("no", "transaction_id")))), lambda x: x["transaction_id"]), ",").alias(f"{k}_ids") for k in ("probe", "cashout")])
+    kinds = r.withColumn("kind", F.when(probe, "probe").when(cash, "cashout")).where("kind IS NOT NULL").withColumn("no", F.row_number().over(w)).where("no <= 20")
+    places = [F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("merchant_id")))), ",").alias(f"{k}_merchants") for k in ("probe", "cashout")]
+    ids = kinds.groupBy("candidate_id").agg(*places, *[F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == k) & (F.col("no") <= 5), F.struct("no", "transaction_id")))), lambda x: x["transaction_id"]), ",").alias(f"{k}_ids") for k in ("probe", "cashout")])
     top = shared.where("attribute = 'device_fingerprint'").groupBy("candidate_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("value")), 1, 10), ",").alias("shared_devices"))
     base = r.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n_transactions"), F.avg("vulcan_score").alias("score_mean"), F.max("vulcan_score").alias("score_max"), F.avg(F.when(cash, F.col("vulcan_score"))).alias("score_cashout_mean"), F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"), F.min("ts").alias("window_start"), F.max("ts").alias("window_end"))
-    return base.join(ids, "candidate_id", "left").join(top, "candidate_id", "left").fillna("", ["probe_ids", "cashout_ids", "shared_devices"])
+    return base.join(ids, "candidate_id", "left").join(top, "candidate_id", "left").fillna("", ["probe_ids", "cashout_ids", "probe_merchants", "cashout_merchants", "shared_devices"])
 
 
 def timeline(rows: DataFrame, shared: DataFrame) -> DataFrame:

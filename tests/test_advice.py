@@ -3,10 +3,12 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkweave import reference_queries as Q
 from linkweave.operators import candidates as C
-from linkweave.operators import graph, model, scoring
+from linkweave.operators import dossier, graph, model, scoring
+from linkweave.operators import features as X
 
 
 def test_sets_hold_communities_of_large_components(spark):
@@ -72,3 +74,24 @@ def test_every_world_is_a_fold_and_ablation_has_a_baseline(spark, monkeypatch):
     got = {r["without"]: r for r in Q.ref_ablation(spark, "").collect()}
     assert {k: r["n_features"] for k, r in got.items()} == {"nothing": 2, "structural": 1, "identity": 1, "behavioural": 2}
     assert got["nothing"]["cost_delta"] == 0 and got["structural"]["cost_delta"] > 0 > got["structural"]["precision_delta"]
+
+
+def test_dossier_unites_every_kind(spark):
+    """A candidate without an induced edge has claims too."""
+    txn = spark.createDataFrame([(f"p{i}", "a", f"m{i % 3}", 5.0, "D", None, None, 0.1, 100 + i) for i in range(7)] + [("c1", "b", "m9", 20000.0, "D", None, None, 0.2, 3700)], "transaction_id string, card_id string, merchant_id string, amount double, device_fingerprint string, ip_address string, email_hash string, vulcan_score double, ts bigint").withColumn("timestamp", F.timestamp_seconds("ts"))
+    members = spark.createDataFrame([("X", "a"), ("X", "b"), ("Y", "a")], "candidate_id string, card_id string")
+    rows = X.gather(members, txn)
+    meta = X.meta(rows, X.shared_values(rows))
+    m = {r["candidate_id"]: r for r in meta.collect()}
+    assert (m["X"]["probe_merchants"], m["X"]["cashout_merchants"], m["X"]["probe_ids"]) == ("m0,m1,m2", "m9", "p0,p1,p2,p3,p4")
+    f = X.features(members, txn, spark.createDataFrame([("m0", True)], "merchant_id string, small boolean"), spark.createDataFrame([("a", "b", 0.5)], "card_a string, card_b string, weight double"), 2, 1)
+    inner = spark.createDataFrame([("X", "a", "b", "device_fingerprint", "D")], "candidate_id string, card_a string, card_b string, attribute string, value string")
+    near = lambda *ids: spark.createDataFrame([("X", i, 0.9) for i in ids], "query_id string, case_id string, similarity double")
+    scored = spark.createDataFrame([("X", 0.2), ("Y", None)], "candidate_id string, upstream double")
+    e = dossier.assemble(dossier.graph_evidence(inner), dossier.supported(dossier.behavioural_evidence(f), meta), dossier.structural_evidence(f), dossier.score_evidence(scored, meta), dossier.memory_evidence(near("r1", "r2", "r3"), near("f1")))
+    got = {(r["candidate_id"], r["claim"], r["citation_id"].split("=")[0]): r["supports"] for r in e.collect()}
+    assert got["X", "device_fingerprint=D", "edge:a~b:device_fingerprint"] == 0 and got["X", "composite", "vulcan:0.2000"] == 2 and got["Y", "composite", "vulcan:0.0000"] == 1
+    assert got["X", "probe_fraction", "feature:probe_fraction"] == 4 and got["X", "amount_escalation", "txn:p0"] == 2 and got["X", "small_merchant_concentration", "feature:small_merchant_concentration"] == 3
+    assert [k[2] for k in sorted(got) if k[1] in ("precedent", "false_positive")] == ["case:f1", "case:r1", "case:r2"]
+    q = {r["candidate_id"]: r["claims"] for r in dossier.quality(e).collect()}
+    assert q["Y"] >= 3 and q["X"] > q["Y"]
