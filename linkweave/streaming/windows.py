@@ -32,13 +32,33 @@ def sessions(events: DataFrame, key: str, time: str, gap: str = "30 minutes", la
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
-def edge_writer(groups: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: new (attribute, value, card_id) rows meet the stored capped groups and new links are appended, one folder a batch, so a repeated batch overwrites itself."""
+def edge_writer(groups: DataFrame, path: str, members: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: new (attribute, value, card_id) rows meet the stored groups, the rows of earlier batches and each other, and new links are appended, one folder a batch, so a repeated batch overwrites itself.
+
+    groups may hold values of a single card. New rows are kept below `members`
+    (by default beside path), also one folder a batch. k counts a value's cards
+    with this batch.
+    """
+    kept = members or f"{path.rstrip('/')}-members"
+    columns = "attribute string, value string, card string, k bigint"
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(kept)
+        known = groups.select("attribute", "value", F.col("card_id").alias("card"), F.col("k").cast("bigint").alias("k"))
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            earlier = spark.read.schema(f"{columns}, batch bigint").parquet(kept).where(F.col("batch") < batch_id).drop("batch")
+            known = known.unionByName(earlier)
         fresh = batch.select("attribute", "value", F.col("card_id").alias("card")).where("card IS NOT NULL AND value IS NOT NULL").distinct()
-        stored = groups.select("attribute", "value", F.col("card_id").alias("other"), "k")
-        links = fresh.join(stored, ["attribute", "value"]).where("card <> other")
+        fresh = fresh.join(known, ["attribute", "value", "card"], "left_anti")
+        before = known.groupBy("attribute", "value").agg(F.greatest(F.max("k"), F.countDistinct("card")).alias("had"))
+        size = fresh.groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("new")).join(before, ["attribute", "value"], "left")
+        counted = fresh.join(size, ["attribute", "value"]).select("attribute", "value", "card", (F.col("new") + F.coalesce("had", F.lit(0))).cast("bigint").alias("k"))
+        here = f"{kept}/batch={batch_id}"
+        counted.write.mode("overwrite").parquet(here)
+        added = spark.read.schema(columns).parquet(here)
+        others = known.select("attribute", "value", F.col("card").alias("other")).unionByName(added.select("attribute", "value", F.col("card").alias("other")))
+        links = added.join(others, ["attribute", "value"]).where("card <> other")
         links.select(F.least("card", "other").alias("card_a"), F.greatest("card", "other").alias("card_b"), "attribute", "value", "k").distinct().write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write

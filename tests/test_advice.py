@@ -9,6 +9,7 @@ from linkweave import reference_queries as Q
 from linkweave.operators import candidates as C
 from linkweave.operators import dossier, graph, model, scoring
 from linkweave.operators import features as X
+from linkweave.streaming import windows
 
 
 def test_sets_hold_communities_of_large_components(spark):
@@ -95,3 +96,14 @@ def test_dossier_unites_every_kind(spark):
     assert [k[2] for k in sorted(got) if k[1] in ("precedent", "false_positive")] == ["case:f1", "case:r1", "case:r2"]
     q = {r["candidate_id"]: r["claims"] for r in dossier.quality(e).collect()}
     assert q["Y"] >= 3 and q["X"] > q["Y"]
+
+
+def test_new_cards_of_one_and_of_successive_batches_are_linked(spark, tmp_path):
+    groups = spark.createDataFrame([("email_hash", "E", "A", 1)], "attribute string, value string, card_id string, k bigint")
+    write = windows.edge_writer(groups, f"{tmp_path}/edges")
+    batch = lambda *rows: spark.createDataFrame(rows, "attribute string, value string, card_id string")
+    write(batch(("email_hash", "E", "B"), ("email_hash", "N", "C"), ("email_hash", "N", "D")), 0)
+    for _ in range(2):
+        write(batch(("email_hash", "N", "F"), ("email_hash", "E", "B")), 1)
+    got = sorted((r["card_a"], r["card_b"], r["value"], r["k"]) for r in spark.read.parquet(f"{tmp_path}/edges").collect())
+    assert got == [("A", "B", "E", 2), ("C", "D", "N", 2), ("C", "F", "N", 3), ("D", "F", "N", 3)]
