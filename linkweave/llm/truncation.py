@@ -1,224 +1,300 @@
 """Text cut off by field limits or in transfer.
 
-Two kinds of evidence over the whole corpus. Per source, histograms of text
-lengths (characters and bytes): a spike at a length the source's texts do not
-exceed by themselves is a limit, and texts at the spike without a terminal mark
-are cut there. And how words go on: for the last words of a text, how often the
-same words end a sentence or line elsewhere, run on into another word, or are
-the beginning of a longer word.
+First, per source and in characters and bytes, histograms of text lengths: a
+spike at a length the source's texts do not exceed by themselves is a limit, and
+a text at the spike without a terminal mark is cut there. Then, for texts away
+from any spike, what proves itself: a cut mark behind the text, half a
+character, a record never closed, and last words that elsewhere in the corpus go
+on, or begin a longer word, and hardly ever end anything.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkweave.llm import wordscan
+from linkweave.llm.wordscan import Scan, fold
 from linkweave.plans.durable import Scratch
 from linkweave.plans.layout import spread
 
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-_DIGIT = regex.compile(r"\p{N}")
 #: What systems put behind a cut: fixed patterns.
 MARKER = regex.compile(r"\s*(?:[(\[<{]\s*(?:more|cut|cont|continued|truncated|snip|clipped)\.{0,3}\s*[)\]>}]|…)\s*$", regex.I)
+_MARKER_ENDS = frozenset(")]>}…")
 _TERMINAL = regex.compile(r"[\s\"'”’»)\]}]*[.!?।॥。]|[^\w\s]*[\]}]")
 _RECORD = regex.compile(r'\s*\{\s*"')
 #: Marks that join two words when no blank stands beside them: decimals, ids, addresses, compounds.
 _JOINT = regex.compile(r"[.,_\-'’/:~=@&+]+")
+_BACKWARDS = regex.compile(r"(?r)[\p{L}\p{M}\p{N}]+")
 ORDERS = 4
 #: Smallest number of texts, and of sources, that make a closing line.
 FINAL_TEXTS, FINAL_SOURCES = 8, 3
+#: Bits (as a power of 2) of the filter of contexts asked for: 8 MB at every size of the data. A full one lets more rows through to the exact join, and loses none.
+FILTER_BITS = 26
 
+_LINE_START, _FIRST, _OWN, _BEGUN, _LAST = wordscan.mix(np.arange(1, 6, dtype=np.uint64))
 
-def _words(line: str) -> tuple[list[str], list[str]]:
-    """The words of a line and the gap after each."""
-    words, gaps, end = [], [], 0
-    for m in _WORD.finditer(line):
-        if words:
-            gaps.append(line[end : m.start()])
-        words.append(m.group())
-        end = m.end()
-    gaps.append(line[end:])
-    return words, gaps
 
+def core(text: str) -> tuple[str, bool]:
+    """The text without blanks at its end and markers behind a cut; whether there was a marker."""
+    text = text.rstrip()
+    m = MARKER.search(text, max(0, len(text) - 200)) if text[-1:] in _MARKER_ENDS else None
+    return (text[: m.start()].rstrip(), True) if m else (text, False)
 
-def _shape(text: str) -> str:
-    """The text in lower case with every digit as 0."""
-    return _DIGIT.sub("0", text.lower())
 
+def _dots(tail: str) -> bool:
+    return tail[:2] == ".." or tail[:1] == "…"
 
-def _contexts(words: list[str], at: int) -> list[tuple[str, ...]]:
-    """The words up to words[at], longest first, within the line; ^ is the line's start."""
-    before = ["^", *words[max(0, at - ORDERS + 1) : at + 1]] if at < ORDERS - 1 else words[at - ORDERS + 1 : at + 1]
-    return [tuple(before[k:]) for k in range(max(0, len(before) - ORDERS), len(before))]
 
+def _before(words: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """Per order 1 to ORDERS, hash of the order - 1 words before each word in its line; place counts words within the line, and before the first stands the line's start. An order holds for a word where place >= order - 2."""
+    out = [np.full(len(words), _FIRST)]
+    for back in range(1, ORDERS):
+        shifted = np.concatenate([np.zeros(min(back, len(words)), np.uint64), words[:-back]])
+        out.append(fold(out[-1], np.where(place >= back, shifted, _LINE_START)))
+    return out
+
+
+def _places(scan: Scan) -> np.ndarray:
+    """Number of each word within its line."""
+    line = np.cumsum(scan.codes == 10)[scan.start]
+    at = np.arange(len(line))
+    first = np.r_[True, line[1:] != line[:-1]] if len(line) else np.empty(0, bool)
+    return at - np.maximum.accumulate(np.where(first, at, 0))
+
+
+def _kinds(scan: Scan, place: np.ndarray) -> np.ndarray:
+    """What follows each word: t terminal mark, w another word, perhaps joined, c other punctuation, n the line's end, e the text's end."""
+    breaks = np.flatnonzero(scan.codes == 10)
+    stop = breaks[np.searchsorted(breaks, scan.end)]
+    after = np.r_[scan.start[1:], len(scan.codes)]
+    last = stop < after
+    stop = np.minimum(stop, after)
+    ends_text = np.r_[scan.text[1:] != scan.text[:-1], True]
+    # dots at a text's end may stand for what was cut, so they are no evidence of a sentence's end
+    place_kind = np.where(last, np.where(ends_text, 2, 1), 0).astype(np.uint64)
+    key = fold(scan.hashes(scan.end, stop), place_kind)
+    _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    kinds = np.empty(len(first), "U1")
+    for k, i in enumerate(first.tolist()):
+        gap = scan.string(scan.end[i], stop[i])
+        if not last[i]:
+            kinds[k] = "w" if _JOINT.fullmatch(gap) else "t" if _TERMINAL.match(gap) else "c" if gap.strip() else "w"
+        elif _TERMINAL.match(gap) and not (ends_text[i] and _dots(gap.strip())):
+            kinds[k] = "t"
+        else:
+            kinds[k] = "e" if ends_text[i] else "n"
+    return kinds[back]
+
+
+def _pieces(text: str) -> Iterator[tuple[str, int, int]]:
+    """(piece, from, to): a long text in pieces that begin ORDERS words early and end a word late, with the part to be counted."""
+    at = wordscan.cuts(text)
+    for a, b in zip(at, at[1:]):
+        lead = a
+        for _, m in zip(range(ORDERS), _BACKWARDS.finditer(text, 0, a)):
+            lead = m.start()
+        more = wordscan.WORD.match(text, b)
+        end = more.end() if more else b
+        yield text[lead:end], a - lead, b - lead
+
+
+def _seen(scan: Scan, low: np.ndarray, high: np.ndarray, asked: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """[keys, column] of everything asked for: contexts with what follows (t w c n as columns 0 to 3), beginnings of longer words behind a context (4). Words of text i count if they start in [low[i], high[i])."""
+    words = scan.words()
+    place = _places(scan)
+    kinds = _kinds(scan, place)
+    inside = scan.start - scan.offset[scan.text]
+    counted = (kinds != "e") & (inside >= low[scan.text]) & (inside < high[scan.text])
+    column = np.zeros(len(words), np.int8)
+    for no, k in enumerate("twcn"):
+        column[kinds == k] = no
+    before = _before(words, place)
+    keys, columns = [], []
+    for order, b in enumerate(before, 1):
+        at = np.flatnonzero(counted & (place >= order - 2))
+        key = fold(b[at], words[at] ^ _OWN)
+        hit = asked(key)
+        keys.append(key[hit])
+        columns.append(column[at[hit]])
+    # beginnings of each word: up to every character inside it
+    size = scan.end - scan.start - 1
+    word = np.repeat(np.flatnonzero(counted), size[counted])
+    begun = np.arange(len(word)) - np.repeat(np.cumsum(size[counted]) - size[counted], size[counted])
+    start = scan.start[word]
+    part = scan.hashes(start, start + begun + 1)
+    hit = asked(part ^ _LAST)
+    word, part = word[hit], part[hit]
+    for order, b in enumerate(before, 1):
+        at = place[word] >= order - 2
+        key = fold(b[word[at]], part[at] ^ _BEGUN)
+        key = key[asked(key)]
+        keys.append(key)
+        columns.append(np.full(len(key), 4, np.int8))
+    return [np.concatenate(keys), np.concatenate(columns)]
+
+
+def _counts(filter_words: tuple[np.ndarray, np.ndarray]):
+    """Counts of the contexts in the filter, summed over many texts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        bits[filter_words[0]] = filter_words[1].view(np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def asked(key: np.ndarray) -> np.ndarray:
+            at = key >> np.uint64(64 - FILTER_BITS)
+            return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+        def merged():
+            key = np.concatenate([k for k, _ in held])
+            n = np.concatenate([n for _, n in held])
+            keys, back = np.unique(key, return_inverse=True)
+            out = np.zeros((len(keys), 5), np.int64)
+            np.add.at(out, back, n)
+            return keys, out
+
+        def out():
+            keys, n = merged()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(n[:, k]) for k in range(5))], names=["key", *"twcn", "more"])
+
+        def take(scan: Scan, low, high) -> bool:
+            key, column = _seen(scan, low, high, asked)
+            held.append(_tally(key, column))
+            if sum(len(k) for k, _ in held) > 400_000:
+                held[:] = [merged()]
+                return len(held[0][0]) > 200_000
+            return False
+
+        for b in batches:
+            texts = [core(t)[0].lower() for t in b.column(0).to_pylist() if t]
+            for some in wordscan.batches(texts):
+                if len(texts[some[0]]) > wordscan.CHUNK:
+                    todo = (([p], np.array([lo]), np.array([hi])) for p, lo, hi in _pieces(texts[some[0]]))
+                else:
+                    part = [texts[i] for i in some]
+                    todo = [(part, np.zeros(len(part), int), np.array([len(t) for t in part]))]
+                for part, low, high in todo:
+                    if take(Scan.of(part, digits=False), low, high):
+                        yield out()
+        if held:
+            yield out()
 
-def key_of(parts: tuple[str, ...]) -> int:
-    return xxhash.xxh3_64_intdigest(" ".join(parts)) - (1 << 63)
+    return run
 
 
-def core(text: str) -> tuple[str, bool]:
-    """The text without blanks at its end and markers behind a cut; whether there was a marker."""
-    text = text.rstrip()
-    m = MARKER.search(text)
-    return (text[: m.start()].rstrip(), True) if m else (text, False)
+def _tally(key: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each occurs in each of the 5 columns."""
+    keys, back = np.unique(key, return_inverse=True)
+    n = np.bincount(back * 5 + column, minlength=5 * len(keys)) if len(keys) else np.zeros(0, np.int64)
+    return keys, n.reshape(-1, 5).astype(np.int64)
 
 
-def _dots(tail: str) -> bool:
-    return tail[:2] == ".." or tail[:1] == "…"
+def _tail(body: str) -> tuple[str, str] | None:
+    """The last ORDERS words of the last line that has one, up to the line's end, and what stands behind them there."""
+    end = len(body)
+    for m in _BACKWARDS.finditer(body):
+        stop = body.find("\n", m.end())
+        end = len(body) if stop < 0 else stop
+        line = body.rfind("\n", 0, m.start()) + 1
+        start = m.start()
+        for _, w in zip(range(ORDERS), _BACKWARDS.finditer(body, line, m.end())):
+            start = w.start()
+        return body[start : m.end()].lower(), body[m.end() : end].strip()
+    return None
 
 
-def observe(text: str) -> Iterator[tuple[tuple[str, ...], str]]:
-    """(context, what follows) of each word: t terminal mark, w another word, perhaps joined, c other punctuation, n the line's end, e the text's end."""
-    lines = [x for x in map(_words, _shape(core(text)[0]).split("\n")) if x[0]]
-    kinds: dict[str, str] = {}
-    for no, (words, gaps) in enumerate(lines):
-        for i, gap in enumerate(gaps[:-1]):
-            kind = kinds.get(gap)
-            if kind is None:
-                kind = kinds[gap] = "w" if _JOINT.fullmatch(gap) else "t" if _TERMINAL.match(gap) else "c" if gap.strip() else "w"
-            for c in _contexts(words, i):
-                yield c, kind
-        last = no + 1 == len(lines)
-        # dots at a text's end may stand for what was cut, so they are no evidence of a sentence's end
-        stop = _TERMINAL.match(gaps[-1]) and not (last and _dots(gaps[-1].strip()))
-        kind = "t" if stop else "e" if last else "n"
-        for c in _contexts(words, len(words) - 1):
-            yield c, kind
-
-
-def ends(text: str) -> dict:
-    """What the judgement of one text needs: its shape, and of its last line with a word the contexts and the tail."""
-    body, marked = core(text)
-    point = None
-    for line in reversed(_shape(body).split("\n")):
-        words, gaps = _words(line)
-        if words:
-            c = _contexts(words, len(words) - 1)
-            point = {"tail": gaps[-1].strip(), "last": words[-1], "keys": [key_of(x) for x in c], "before": [key_of(("|", *x[:-1])) for x in c]}
-            break
-    return {"marked": marked, "broken": body.endswith("\ufffd"), "record": bool(_RECORD.match(body)), "closed": body.endswith("}"), "point": point}
-
-
-def complete_end(point: dict, stats: dict, longer: dict) -> str:
-    """How the line of a point ends: mark, final, end (as elsewhere), cut or unknown."""
-    tail = point["tail"]
+_ENDS = "doc_id bigint, source string, chars int, bytes int, h1 bigint, h2 bigint, marked boolean, broken boolean, record boolean, closed boolean, tail string, number boolean, stopped boolean, keys array<bigint>, begun array<bigint>, last bigint"
+
+
+def _ends_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        bodies = [core(t) for t in b.column("text").to_pylist()]
+        tails = [_tail(body) for body, _ in bodies]
+        have = [i for i, t in enumerate(tails) if t]
+        keys, begun = [None] * len(tails), [None] * len(tails)
+        last: list = [None] * len(tails)
+        number = [False] * len(tails)
+        if have:
+            scan = Scan.of([tails[i][0] for i in have], digits=False)
+            words, place = scan.words(), _places(scan)
+            before = _before(words, place)
+            at = np.flatnonzero(np.r_[scan.text[1:] != scan.text[:-1], True])
+            own = [fold(x[at], words[at] ^ _OWN).view(np.int64).tolist() for x in before]
+            more = [fold(x[at], words[at] ^ _BEGUN).view(np.int64).tolist() for x in before]
+            spot = (words[at] ^ _LAST).view(np.int64).tolist()
+            zero = (scan.codes[scan.end[at] - 1] == 48).tolist()
+            for n, (i, p) in enumerate(zip(have, place[at].tolist())):
+                orders = range(min(ORDERS, p + 2) - 1, -1, -1)  # longest first
+                keys[i], begun[i] = [own[o][n] for o in orders], [more[o][n] for o in orders]
+                last[i], number[i] = spot[n], zero[n]
+        tail = [t[1] if t else None for t in tails]
+        stopped = [bool(t) and bool(_TERMINAL.match(t)) and not _dots(t) for t in tail]
+        flags = [[m for _, m in bodies], [x.endswith("�") for x, _ in bodies], [bool(_RECORD.match(x)) for x, _ in bodies], [x.endswith("}") for x, _ in bodies]]
+        kept = ["doc_id", "source", "chars", "bytes", "h1", "h2"]
+        longs = pa.list_(pa.int64())
+        cols = [*(b.column(k) for k in kept), *(pa.array(f, pa.bool_()) for f in flags), pa.array(tail, pa.string()), pa.array(number, pa.bool_()), pa.array(stopped, pa.bool_()), pa.array(keys, longs), pa.array(begun, longs), pa.array(last, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=[*kept, "marked", "broken", "record", "closed", "tail", "number", "stopped", "keys", "begun", "last"])
+
+
+def complete_end(tail: str, number: bool, keys: list[int], begun: list[int], stats: dict) -> str:
+    """How a line ends: mark, final, end (as elsewhere), cut or unknown."""
     dots = _dots(tail)
-    number = tail == "." and point["last"][-1:] == "0"
+    number = tail == "." and number
     if tail and _TERMINAL.match(tail) and not dots and not number:
         return "mark"
     if tail and tail[-1] in ",;:([{<\"'~-=/&@#_+":
         return "cut"
-    own = [stats.get(k, {}) for k in point["keys"]]
-    if not tail and own and own[0].get("e", 0) >= FINAL_TEXTS and own[0].get("sources", 0) >= FINAL_SOURCES and own[0]["e"] > max(own[0].get("w", 0), longer.get((point["before"][0], point["last"]), 0)):
+    own = [stats.get(k, {}) for k in keys]
+    more = [stats.get(k, {}).get("more") or 0 for k in begun]
+    if not tail and own and (own[0].get("e") or 0) >= FINAL_TEXTS and (own[0].get("sources") or 0) >= FINAL_SOURCES and own[0]["e"] > max(own[0].get("w") or 0, more[0]):
         return "final"
     if tail and not dots and not number:
         return "end"
     for i, s in enumerate(own):
-        order = len(own) - i
-        more = longer.get((point["before"][i], point["last"]), 0)
-        inner = s.get("t", 0) + s.get("w", 0) + s.get("c", 0) + s.get("n", 0)
-        if more >= 2 and inner <= 0.05 * more and not number:
+        t, w, c, n = (s.get(k) or 0 for k in "twcn")
+        if more[i] >= 2 and t + w + c + n <= 0.05 * more[i] and not number:
             return "cut"
-        stop, on = s.get("t", 0) + s.get("n", 0), s.get("w", 0) + s.get("c", 0)
-        if inner >= 3:
+        if t + w + c + n >= 3:
             if number:  # a number's point: cut only if it hardly ever is the sentence's
-                return "cut" if stop <= 0.02 * s.get("w", 0) else "mark"
-            if stop and stop >= (0.15 if order >= 3 else 0.05) * (stop + s.get("w", 0)):
+                return "cut" if t + n <= 0.02 * w else "mark"
+            if t + n and t + n >= (0.15 if len(own) - i >= 3 else 0.05) * (t + n + w):
                 return "mark" if dots else "end"
-            return "cut" if on else "end"
+            return "cut" if w + c else "end"
     return "mark" if tail else "unknown"
 
 
-def judge(info: dict, stats: dict, longer: dict, spike: bool) -> str:
-    """marked, broken, record, tail, limit or '' (complete)."""
-    if info["marked"]:
-        return "marked"
-    if info["broken"]:
-        return "broken"
-    if info["record"]:
-        return "" if info["closed"] else "record"
-    if info["point"] is None:
-        return ""
-    end = complete_end(info["point"], stats, longer)
-    if end == "cut":
-        return "tail"
-    return "limit" if spike and end in ("end", "unknown") else ""
-
-
-#: What follows a word, as columns of the statistics.
-_KINDS = {k: i for i, k in enumerate("twcn")}
-
-
-def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts per context (kinds t, w, c, n) and per context and source (e), summed over some 400,000 contexts at a time."""
-    names = ["key", "before", "last", *"twcne", "source"]
-    types = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.string()]
-
-    def out(seen: dict, ended: Counter) -> pa.RecordBatch:
-        rows = [(key_of(c), key_of(("|", *c[:-1])), c[-1], *n, 0, None) for c, n in seen.items()]
-        rows += [(key_of(c), key_of(("|", *c[:-1])), c[-1], 0, 0, 0, 0, n, source) for (c, source), n in ended.items()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-    seen: dict[tuple[str, ...], list[int]] = {}
-    ended: Counter = Counter()
-    for b in batches:
-        for text, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if not text:
-                continue
-            source = source or ""
-            for c, kind in observe(text):
-                if kind == "e":
-                    ended[c, source] += 1
-                else:
-                    n = seen.get(c)
-                    if n is None:
-                        n = seen[c] = [0, 0, 0, 0]
-                    n[_KINDS[kind]] += 1
-            if len(seen) > 400_000:
-                yield out(seen, ended)
-                seen, ended = {}, Counter()
-    if seen or ended:
-        yield out(seen, ended)
-
-
-_POINT = "struct<tail: string, last: string, keys: array<bigint>, before: array<bigint>>"
-_ENDS = f"doc_id bigint, marked boolean, broken boolean, record boolean, closed boolean, point {_POINT}"
-_POINT_TYPE = pa.struct([("tail", pa.string()), ("last", pa.string()), ("keys", pa.list_(pa.int64())), ("before", pa.list_(pa.int64()))])
-
-
-def _ends_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [ends(t) for t in b.column(1).to_pylist()]
-        flags = [pa.array([g[k] for g in got], pa.bool_()) for k in ("marked", "broken", "record", "closed")]
-        yield pa.RecordBatch.from_arrays([b.column(0), *flags, pa.array([g["point"] for g in got], _POINT_TYPE)], names=["doc_id", "marked", "broken", "record", "closed", "point"])
+        out = [complete_end(r["tail"], r["number"], r["keys"], r["begun"], {s["key"]: s for s in r["stats"]}) for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["point", "end"])
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for r in b.to_pylist():
-            stats = {s["key"]: s for s in r["stats"] or []}
-            longer = {(s["before"], s["last"]): s["more"] for s in r["longer"] or []}
-            out.append(judge(r, stats, longer, bool(r["spike"])))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "reason"])
+def _filter_of(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The bits set by `key`, as (place, 64 bits) of the words that have any: at most 2 ** (FILTER_BITS - 6) of them, however many keys there are."""
+    at = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+    words = keys.select(F.shiftright(at, 6).alias("at"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(key, {64 - FILTER_BITS}) & 63 AS INT))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    got = words.toArrow()
+    return got.column("at").to_numpy(), got.column("bits").to_numpy()
 
 
-def limits(documents: DataFrame, least: int = 4, ratio: float = 8.0, around: int = 40) -> DataFrame:
+def limits(ended: DataFrame, least: int = 4, ratio: float = 8.0, around: int = 40) -> DataFrame:
     """(source, unit, length): lengths (chars or bytes) at which a source's texts pile up.
 
-    A length is a spike if at least `least` different texts have it, `ratio`
-    times as many as an average length within `around` of it, and more than
-    half of all longer texts together. Histograms have one row per source and
+    A length is a spike if at least `least` different texts (by h1, h2) have it,
+    `ratio` times as many as an average length within `around` of it, and at least
+    half as many as all longer texts together. Histograms have one row per source and
     length, however many texts there are; sources of null are one source.
     """
-    rows = documents.where(F.trim("text") != "").select(F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("h"), F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("length"))).alias("u"))
-    hist = rows.distinct().select("source", F.explode("u").alias("u")).select("source", "u.*").groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
+    each = F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))
+    rows = ended.select(F.coalesce("source", F.lit("")).alias("source"), "h1", "h2", "chars", "bytes").distinct()
+    hist = rows.select("source", F.explode(each).alias("u")).select("source", "u.*").groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("source", "unit").orderBy("length")
     near = F.sum("n").over(w.rangeBetween(-around, around)) - F.col("n")
     longer = F.sum("n").over(w.rangeBetween(1, Window.unboundedFollowing))
@@ -227,45 +303,58 @@ def limits(documents: DataFrame, least: int = 4, ratio: float = 8.0, around: int
 
 
 def truncated(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, reason) of each cut text; reason is limit, tail, marked, broken, record or copy.
-
-    marked: a system's marker stands behind the cut; broken: it ends in a
-    replacement character; record: a record opened and never closed; tail: its
-    last words go on elsewhere; limit: at a length spike of its source without a
-    terminal mark; copy: equal to a text cut by one of these. Null, empty and blank texts are complete;
-    repeated rows are reported once per doc_id; rows without a doc_id count in
-    the statistics but can't be reported.
+    """(doc_id, source, reason) of each cut text; reason is limit, marked, broken, record, tail or copy.
+
+    limit: at a length spike of its source (characters or bytes) and without a
+    terminal mark, closed record or closing line. Away from a spike: marked, a
+    system's marker stands behind the cut; broken, it ends in a replacement
+    character; record, a record opened and never closed; tail, its last words go
+    on elsewhere. copy: equal to a text cut by one of these. Null, empty and
+    blank texts are complete; repeated rows are reported once per doc_id; rows
+    without a doc_id count in the statistics but can't be reported; an empty
+    table gives an empty result.
+
+    Texts are read twice: for their ends and lengths, and to count what follows
+    the last words some text ends in. Only contexts that pass a filter of fixed
+    size built from the first reading leave a worker, summed.
     """
-    scratch = Scratch(documents.sparkSession)
-    docs = documents.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("doc_id", "text", "source")
-    docs = spread(docs)
-    seen = docs.select("text", "source").mapInArrow(_observations, "key bigint, before bigint, last string, t bigint, w bigint, c bigint, n bigint, e bigint, source string")
-    # one row per context and source first: sources are counted as rows, and no context's rows meet unsummed
-    summed = seen.groupBy("key", "source").agg(*[F.sum(k).alias(k) for k in "twcne"], F.first("before").alias("before"), F.first("last").alias("last"))
-    stats = scratch.write(summed.groupBy("key").agg(*[F.sum(k).alias(k) for k in "twcne"], F.count("source").alias("sources"), F.first("before").alias("before"), F.first("last").alias("last")), "stats")
-    ended = scratch.write(docs.select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(_ends_of, _ENDS), "ends")
-
-    point = ended.where("point IS NOT NULL").select("doc_id", F.col("point").alias("p"))
-    keys = point.select("doc_id", F.explode("p.keys").alias("key")).distinct()
-    own = keys.join(stats.drop("before", "last"), "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", *"twcne", "sources")).alias("stats"))  # at most ORDERS a text
-    asked = point.select("doc_id", F.explode("p.before").alias("before"), F.col("p.last").alias("last")).distinct()
-    # how often the same words before go on with a longer word: beginnings of each word seen, only where some text asks
-    starts = stats.where("last <> ''").join(asked.select("before").distinct(), "before", "left_semi").select("before", (F.col("t") + F.col("w") + F.col("c") + F.col("n")).alias("n"), F.explode(F.expr("transform(sequence(1, greatest(1, least(length(last) - 1, 40))), k -> substring(last, 1, k))")).alias("start"), "last").where("start <> last")
-    more = starts.groupBy("before", F.col("start").alias("last")).agg(F.sum("n").alias("more"))
-    longer = asked.join(more, ["before", "last"]).groupBy("doc_id").agg(F.collect_list(F.struct("before", "last", "more")).alias("longer"))
-
-    found = limits(docs)
-    sizes = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("length")))).alias("u"))
-    spikes = sizes.select("doc_id", "source", "u.*").join(found, ["source", "unit", "length"], "left_semi").select("doc_id", F.lit(True).alias("spike")).distinct()
-    judged = ended.join(own, "doc_id", "left").join(longer, "doc_id", "left").join(spikes, "doc_id", "left")
-    reasons = scratch.write(judged.mapInArrow(_judged, "doc_id bigint, reason string"), "reasons")
-    named = docs.join(reasons, "doc_id").select("doc_id", "source", "reason", F.sha2(F.rtrim("text"), 256).alias("h"))
-    cut = named.where("reason <> ''").select("h").distinct().withColumn("copied", F.lit(True))
-    return named.join(cut, "h").select("doc_id", "source", F.when(F.col("reason") == "", "copy").otherwise(F.col("reason")).alias("reason")).distinct()
+    spark = documents.sparkSession
+    scratch = Scratch(spark)
+    docs = spread(documents.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("doc_id", "text", "source"))
+    sized = docs.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), *[F.xxhash64(F.lit(k), F.rtrim("text")).alias(f"h{k}") for k in (1, 2)], "text")
+    ended = scratch.write(sized.mapInArrow(_ends_of, _ENDS), "ends")
+
+    # texts that end alike are one point
+    alike = ["tail", "number", "keys", "begun"]
+    pointed = ended.where("keys IS NOT NULL").withColumn("point", F.xxhash64(*alike))
+    points = scratch.write(pointed.select("point", "last", *alike).dropDuplicates(["point"]), "points")
+    keys = points.select(F.explode(F.concat("keys", "begun", F.array("last"))).alias("key")).distinct()
+    seen = docs.select("text").mapInArrow(_counts(_filter_of(keys)), "key bigint, t bigint, w bigint, c bigint, n bigint, more bigint")
+    counts = seen.groupBy("key").agg(*[F.sum(k).alias(k) for k in (*"twcn", "more")])
+    # how many texts end in a line's whole words without a mark, and of how many sources
+    closing = pointed.where("NOT stopped").select(F.col("keys")[0].alias("key"), F.coalesce("source", F.lit("")).alias("source")).groupBy("key", "source").agg(F.count(F.lit(1)).alias("e")).groupBy("key").agg(F.sum("e").alias("e"), F.count(F.lit(1)).alias("sources"))
+    asked = points.select("point", F.explode(F.concat("keys", "begun")).alias("key"))
+    stats = counts.join(closing, "key", "full")
+    own = asked.join(stats, "key").groupBy("point").agg(F.collect_list(F.struct("key", *"twcn", "more", "e", "sources")).alias("stats"))  # at most 2 x ORDERS a point
+    none = F.array().cast(own.schema["stats"].dataType)
+    judged = points.join(own, "point", "left").select("point", *alike, F.coalesce("stats", none).alias("stats")).mapInArrow(_judged, "point bigint, end string")
+
+    found = scratch.write(limits(ended), "limits")
+    every = ended.withColumn("point", F.when(F.col("keys").isNotNull(), F.xxhash64(*alike)))
+    for unit in ("chars", "bytes"):
+        at = found.where(F.col("unit") == unit).select(F.col("source").alias("s"), F.col("length").alias(unit), F.lit(True).alias(f"at_{unit}"))
+        every = every.withColumn("s", F.coalesce("source", F.lit(""))).join(at, ["s", unit], "left").drop("s")
+    spike = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
+    open_ = F.when(F.col("record"), ~F.col("closed")).otherwise((F.coalesce("end", F.lit("")) == "cut") | (spike & F.coalesce("end", F.lit("")).isin("end", "unknown")))
+    reason = F.when(F.col("marked") | F.col("broken") | open_, F.when(spike, "limit").when(F.col("marked"), "marked").when(F.col("broken"), "broken").when(F.col("record"), "record").otherwise("tail")).otherwise("")
+    named = scratch.write(every.join(judged, "point", "left").select("doc_id", "source", "h1", "h2", reason.alias("reason")), "reasons")
+    cut = named.where("reason <> ''").select("h1", "h2").distinct()
+    out = named.join(cut, ["h1", "h2"]).where("doc_id IS NOT NULL").select("doc_id", "source", F.when(F.col("reason") == "", "copy").otherwise(F.col("reason")).alias("reason"))
+    return out.groupBy("doc_id").agg(F.min(F.struct("source", "reason")).alias("r")).select("doc_id", "r.source", "r.reason")
 
 
 def truncation_shares(documents: DataFrame) -> DataFrame:
     """(source, texts, cut, share): per source, its non-blank texts, how many are cut and their share."""
     docs = documents.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("doc_id", "source").distinct()
-    flagged = docs.join(truncated(documents).select("doc_id").distinct().withColumn("cut", F.lit(1)), "doc_id", "left")
+    flagged = docs.join(truncated(documents).select("doc_id").withColumn("cut", F.lit(1)), "doc_id", "left")
     return flagged.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.count("cut").alias("cut")).withColumn("share", F.col("cut") / F.col("texts"))

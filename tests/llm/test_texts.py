@@ -104,3 +104,47 @@ def test_truncated(spark):
     shares = {r["source"]: r for r in truncation.truncation_shares(df).collect()}
     assert shares["x"]["texts"] == 2 and shares["x"]["cut"] == 1
     assert truncation.truncated(df.limit(0)).count() == 0
+
+
+def test_a_cut_inside_a_word_of_any_length_is_seen(spark):
+    word = "".join("abcdefghij"[i * 7 % 10] + "klmnopqrst"[i * 3 % 10] for i in range(60))
+    rows = [(i, f"Desk {i} reviewed the file {word} before noon.", f"s{i % 5}") for i in range(40)]
+    rows += [(100 + n, "x " * n + f"Desk 7 reviewed the file {word[:n]}", "s9") for n in (15, 30, 50, 119)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r["doc_id"]: r["reason"] for r in truncation.truncated(df).collect()} == {115: "tail", 130: "tail", 150: "tail", 219: "tail"}
+
+
+def test_spikes_decide_first(spark):
+    rnd = random.Random(9)
+    words = ["desk", "card", "queue", "score", "branch", "ledger", "window", "notice"]
+    text = lambda n: (" ".join(rnd.choice(words) for _ in range(60)))[:n]
+    rows = [(i, text(rnd.randrange(60, 150)) + ".", "a") for i in range(300)]
+    rows += [(1000 + i, text(160).rstrip().ljust(160, "q"), "a") for i in range(30)]
+    rows += [(2000 + i, "ñ" * 10 + text(130).ljust(130, "q"), "b") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r["reason"] for r in truncation.truncated(df).collect()}
+    assert {i for i, r in got.items() if r == "limit"} >= {r[0] for r in rows if r[0] >= 1000} and not any(i < 1000 for i in got)
+
+
+def test_words_of_long_texts_are_those_of_their_pieces(monkeypatch):
+    import numpy as np
+
+    from linkweave.llm import wordscan
+
+    rnd = random.Random(8)
+    text = "\n".join(" ".join("".join(rnd.choice("abñहé1") for _ in range(rnd.randrange(1, 9))) for _ in range(rnd.randrange(1, 12))) + rnd.choice(["", ".", "..", ", "]) for _ in range(120)) + " " + "z" * 900 + " end of it"
+    whole = wordscan.Scan.of([text.lower()])
+    assert [whole.string(a, b) for a, b in zip(whole.start, whole.end)] == wordscan.WORD.findall(text.lower())
+    every = lambda keys: np.ones(len(keys), bool)
+
+    def seen(parts):
+        out = {}
+        for piece, low, high in parts:
+            for k, c in zip(*truncation._seen(wordscan.Scan.of([piece.lower()], digits=False), np.array([low]), np.array([high]), every)):
+                out[int(k), int(c)] = out.get((int(k), int(c)), 0) + 1
+        return out
+
+    want = seen([(text, 0, len(text))])
+    monkeypatch.setattr(wordscan, "CHUNK", 200)
+    assert (wordscan.word_hashes(text) == whole.words()).all()
+    assert len(list(truncation._pieces(text))) > 10 and seen(truncation._pieces(text)) == want
