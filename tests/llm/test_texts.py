@@ -148,3 +148,68 @@ def test_words_of_long_texts_are_those_of_their_pieces(monkeypatch):
     monkeypatch.setattr(wordscan, "CHUNK", 200)
     assert (wordscan.word_hashes(text) == whole.words()).all()
     assert len(list(truncation._pieces(text))) > 10 and seen(truncation._pieces(text)) == want
+
+
+def test_edited_passages_leak(spark):
+    rnd = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(4000)]
+    words = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    items = [(f"I{i}", words(rnd.choice([60, 75, 110]))) for i in range(100)] + [("short", words(9))]
+    docs, want = [], {}
+    for name, w in items:
+        for kind in (10, 12, 20, "dropped", "inserted", "whole"):
+            x = list(w)
+            if isinstance(kind, int):
+                for j in range(rnd.randrange(kind), len(x), kind):
+                    x[j] = rnd.choice(vocabulary)
+            elif kind == "dropped":
+                del x[len(x) // 2]
+            elif kind == "inserted":
+                x.insert(len(x) // 3, "else")
+            want[len(docs)] = (name, kind)
+            docs.append((len(docs), " ".join([*words(rnd.randrange(80)), *x, *words(rnd.randrange(80))])))
+    other = len(docs)
+    docs += [(i, " ".join(words(150))) for i in range(other, other + 100)]
+    found = leaks.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id string, passage string")).collect()
+    got = {(r["doc_id"], r["item_id"]): r for r in found}
+    for kind in (10, 12, 20, "dropped", "inserted", "whole"):
+        mine = [d for d, (i, k) in want.items() if k == kind and i != "short"]
+        assert sum((d, want[d][0]) in got for d in mine) >= 0.9 * len(mine), kind
+    assert all(d in want and want[d][0] == i for d, i in got)
+    assert ({d for d, i in got if i == "short"} & {d for d, x in want.items() if x == ("short", "whole")}) and min(r["similarity"] for r in found) < 1
+
+
+def test_similarity_against_brute_force():
+    import numpy as np
+
+    rnd = random.Random(7)
+    for _ in range(40):
+        n = rnd.randrange(5, 30)
+        texts = [[rnd.randrange(1, 4) for _ in range(n + 4)] for _ in range(2)]
+        if rnd.random() < 0.7:
+            texts[1][3:] = texts[0][3:]
+            texts[1][n // 2] = 9
+        weights = [[rnd.random() for _ in range(n)] for _ in range(2)]
+        grams = [[tuple(t[i : i + 5]) if i + 5 <= n + 4 else None for i in range(n + 4)] for t in texts]
+        have = [set(g) - {None} for g in grams]
+        both = total = 0.0
+        for k in (0, 1):
+            for j in range(n):
+                total += weights[k][j]
+                both += weights[k][j] * any(grams[k][i] in have[1 - k] for i in range(j, j + 5) if grams[k][i])
+        names = {g: i + 1 for i, g in enumerate(sorted(have[0] | have[1]))}
+        x, y = (np.array([[names.get(v, 0) for v in g]], np.uint64) for g in grams)
+        assert abs(leaks.similarity(x, y, *(np.array([w]) for w in weights))[0] - both / total) < 1e-12
+
+
+def test_a_wide_radius_finds_all(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    queries = prints[rng.integers(0, 900, 60)].copy()
+    for _ in range(14):
+        queries ^= np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)
+    q, p = leaks.HammingIndex(prints, 15).near(queries)
+    want = {(i, j) for i in range(60) for j in range(900) if int(queries[i] ^ prints[j]).bit_count() <= 15}
+    assert set(zip(q.tolist(), p.tolist())) == want and len(q) == len(want) >= 60
