@@ -2,77 +2,119 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkweave.llm.wordscan import fold, mix
 from linkweave.plans.durable import Scratch
 
 
-def forest_depth(threshold: float, trees: int, target_recall: float) -> int:
-    """Depth at which comparing common-prefix neighbourhoods finds a pair at the threshold with the target probability.
-
-    A pair of similarity s shares a prefix of k minhashes in a tree with
-    probability s**k, so coming up from deep prefixes the search may stop at the
-    largest k with 1 - (1 - s**k) ** trees >= target.
-    """
-    k = 1
-    while 1 - (1 - threshold ** (k + 1)) ** trees >= target_recall:
-        k += 1
-    return k
-
-
-def similar_classes(sets: DataFrame, threshold: Fraction, trees: int = 64, target_recall: float = 0.999999, crowd: int = 256) -> tuple[DataFrame, DataFrame]:
+def found_share(similarity, depth: int, trees: int):
+    """Probability that two sets of the similarity share a prefix of `depth` minhashes in some of the trees."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def forest_depths(threshold: float, trees: int, target_recall: float) -> list[int]:
+    """Depths to compare neighbourhoods at: a deep one first, down to the one that finds a pair at the threshold with the target probability."""
+    last = 1
+    while found_share(threshold, last + 1, trees) >= target_recall:
+        last += 1
+    return [last + 1, last]
+
+
+def _signatures(trees: int, depths: list[int]):
+    """Rows (kind, sid, size, rare, tree, shallow, deep): per set and tree the hashes of its minhash prefixes of both depths, a whole batch of sets at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                lists = part.column("hashes")
+                offset = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+                h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                cols = []
+                for tree in range(trees):
+                    prefix = np.zeros(len(part), np.uint64)
+                    kept = []
+                    for no in range(1, depths[0] + 1):
+                        seed = mix(np.array([tree * depths[0] + no], np.uint64))
+                        prefix = fold(prefix, np.minimum.reduceat(mix(h ^ seed), offset[:-1]))
+                        if no in depths:
+                            kept.append(prefix.view(np.int64))
+                    cols.append(kept)
+                every = np.tile(np.arange(len(part)), trees)
+                same = part.select(["kind", "sid", "size", "rare"]).take(pa.array(every))
+                number = pa.array(np.repeat(np.arange(trees, dtype=np.int16), len(part)))
+                yield pa.RecordBatch.from_arrays([*same.columns, number, *(pa.array(np.concatenate(c)) for c in zip(*cols))], names=["kind", "sid", "size", "rare", "tree", "shallow", "deep"])
+
+    return run
+
+
+def similar_classes(sets: DataFrame, threshold: Fraction, trees: int = 32, target_recall: float = 0.999999) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of `sets` (kind, record, items): members (kind, record, sid) names each record's class of equal sets, pairs (a, b) the different classes with a similarity of at least the threshold.
 
     Similarity is (common) / (elements of either). items are arrays without
     nulls or repeats, sorted; empty ones are left out. Sets are compared within
-    a kind only. Neighbourhoods of more than `crowd` classes are not expanded:
-    their classes are compared through their rare elements instead, which is
-    exact (two sets at the threshold share one of the first
-    size - ceil(threshold * size) + 1 elements in order of rarity).
+    a kind only. In every tree the classes stand in the order of their minhash
+    signatures; those with a common prefix are neighbours. The deep prefixes are
+    compared first; if the recall measured on the pairs found (each counts for
+    one over the probability that its similarity is found) is under the target,
+    those that share the shallow prefix only are compared too, which meets the
+    target for pairs at the threshold. Two sets at the threshold share one of
+    their first size - ceil(threshold * size) + 1 elements in order of rarity,
+    so neighbours are compared only where they share such an element; sets that
+    have nothing but a common element together never meet. All pairs are
+    verified exactly. An empty table gives empty results.
     """
     spark = sets.sparkSession
     scratch = Scratch(spark)
     num, den = threshold.numerator, threshold.denominator
-    depth = forest_depth(float(threshold), trees, target_recall)
+    depths = forest_depths(float(threshold), trees, target_recall)
     rows = sets.where(F.size("items") > 0).select("kind", "record", "items").distinct()
     classes = rows.select("kind", "items").distinct().withColumn("sid", F.monotonically_increasing_id()).withColumn("size", F.size("items"))
     classes = scratch.write(classes, "classes")
     members = scratch.write(rows.join(classes.select("kind", "items", "sid"), ["kind", "items"]).select("kind", "record", "sid"), "members")
 
-    # signature of tree t: the smallest hash of the set under seeds t * depth, t * depth + 1, ...; a tree's key is its whole prefix
-    sketch = f"transform(sequence(0, {trees - 1}), t -> struct(t AS tree, transform(sequence(t * {depth}, t * {depth} + {depth - 1}), s -> array_min(transform(items, x -> xxhash64(s, x)))) AS prefix))"
-    forest = classes.select("kind", "sid", "size", F.explode(F.expr(sketch)).alias("t")).select("kind", "sid", "size", F.col("t.tree").cast("smallint").alias("tree"), F.expr("xxhash64(t.prefix)").alias("prefix"))
-    w = Window.partitionBy("kind", "tree", "prefix")
-    near = scratch.write(forest.withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1"), "neighbours")
+    items = classes.select("kind", "sid", "size", F.explode("items").alias("item"))
+    often = items.groupBy("kind", "item").agg(F.count(F.lit(1)).alias("often"))
+    ranked = items.join(often, ["kind", "item"]).groupBy("kind", "sid", "size").agg(F.array_sort(F.collect_list(F.struct("often", F.xxhash64("item").alias("h"), F.hash("item").alias("short")))).alias("ranked"))
+    rare = F.slice("ranked", 1, (F.col("size") - F.ceil(F.col("size") * num / den) + 1).cast("int"))
+    ready = ranked.select("kind", "sid", "size", F.transform("ranked", lambda x: x["h"]).alias("hashes"), F.transform(rare, lambda x: x["short"]).alias("rare"))
+    forest = ready.mapInArrow(_signatures(trees, depths), f"kind {sets.schema['kind'].dataType.simpleString()}, sid bigint, size int, rare array<int>, tree smallint, shallow bigint, deep bigint")
+    wide, narrow = Window.partitionBy("kind", "tree", "shallow"), Window.partitionBy("kind", "tree", "shallow", "deep")
+    forest = scratch.write(forest.withColumn("n", F.count(F.lit(1)).over(wide)).where("n > 1").withColumn("n_deep", F.count(F.lit(1)).over(narrow)).drop("n"), "forest")
 
     fits = (F.col("x.size") * den >= F.col("y.size") * num) & (F.col("y.size") * den >= F.col("x.size") * num)
-    ordered = F.col("x.sid") < F.col("y.sid")
-
-    def pairs_of(t: DataFrame, *keys: str) -> DataFrame:
-        same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
-        return t.alias("x").join(t.alias("y"), [*same, ordered, fits]).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-
-    found = pairs_of(near.where(F.col("n") <= crowd), "kind", "tree", "prefix")
-    crowded = scratch.write(near.where(F.col("n") > crowd).select("sid").distinct(), "crowded")
-    if crowded.limit(1).count():
-        items = classes.join(crowded, "sid", "left_semi").select("kind", "sid", "size", F.explode("items").alias("item"))
-        often = items.groupBy("kind", "item").agg(F.count(F.lit(1)).alias("often"))
-        ranked = items.join(often, ["kind", "item"]).withColumn("no", F.row_number().over(Window.partitionBy("sid").orderBy("often", "item")))
-        rare = ranked.where(F.col("no") <= F.col("size") - F.ceil(F.col("size") * num / den) + 1).select("kind", "sid", "size", "item")
-        found = found.unionByName(pairs_of(rare, "kind", "item"))
-    candidates = found.distinct()
-    x = classes.select(F.col("sid").alias("a"), F.col("items").alias("x"))
-    y = classes.select(F.col("sid").alias("b"), F.col("items").alias("y"))
-    both = candidates.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    exact = F.col("common") * den >= (F.size("x") + F.size("y") - F.col("common")) * num
-    pairs = scratch.write(both.where(exact).select("a", "b", "common", (F.size("x") + F.size("y") - F.col("common")).alias("either")), "pairs")
-    scratch.drop(near)
+    sides = classes.select("sid", "items")
+    pairs = None
+    for depth, prefix, own in ((depths[0], "deep", forest.where("n_deep > 1")), (depths[1], "shallow", forest)):
+        t = own.select("kind", "tree", *sorted({prefix, "deep"}), "sid", "size", F.explode("rare").alias("element"))
+        keys = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("kind", "tree", prefix, "element")]
+        apart = [F.col("x.deep") != F.col("y.deep")] if prefix != "deep" else []
+        near = t.alias("x").join(t.alias("y"), [*keys, F.col("x.sid") < F.col("y.sid"), fits, *apart]).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+        if pairs is not None:
+            near = near.join(pairs, ["a", "b"], "left_anti")
+        both = near.join(sides.select(F.col("sid").alias("a"), F.col("items").alias("x")), "a").join(sides.select(F.col("sid").alias("b"), F.col("items").alias("y")), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+        exact = F.col("common") * den >= (F.size("x") + F.size("y") - F.col("common")) * num
+        good = scratch.write(both.where(exact).select("a", "b", "common", (F.size("x") + F.size("y") - F.col("common")).alias("either")), f"pairs_{prefix}")
+        pairs = good if pairs is None else pairs.unionByName(good)
+        seen = good.agg(F.count(F.lit(1)).alias("n"), F.sum(1 / found_share_of(F.col("common") / F.col("either"), depth, trees)).alias("all")).first()
+        if seen["n"] and seen["n"] >= target_recall * seen["all"]:
+            break
+    scratch.drop(forest)
     return members, pairs
 
 
+def found_share_of(similarity: Column, depth: int, trees: int) -> Column:
+    """found_share of a column."""
+    return 1 - F.pow(1 - F.pow(similarity, F.lit(float(depth))), F.lit(float(trees)))
+
+
 def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(kind, a, b) with a < b: every pair of different records of one class or of two paired classes, once."""
     m = members.select("kind", "record", "sid")

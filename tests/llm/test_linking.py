@@ -102,16 +102,24 @@ def _sets(seed, n=300):
     return out
 
 
-@pytest.mark.parametrize("crowd", [256, 3])
-def test_similar_pairs(spark, crowd):
+def test_similar_pairs(spark):
     sets = _sets(6)
     rows = [("k", f"R{i:05d}", [f"{x:03d}" for x in sorted(s)]) for i, s in sets] + [("k", "empty", []), ("other", "R00000", ["000", "001"])]
     df = spark.createDataFrame([*rows, *rows[:20]], "kind string, record string, items array<string>").selectExpr("*", "1 as sid", "2 as size", "3 as n")
-    members, pairs = sketch_forest.similar_classes(df, Fraction(3, 5), crowd=crowd)
+    members, pairs = sketch_forest.similar_classes(df, Fraction(3, 5))
     got = {(r["a"], r["b"]) for r in sketch_forest.record_pairs(members, pairs).where("kind = 'k'").collect()}
     want = {tuple(sorted((f"R{i:05d}", f"R{j:05d}"))) for i, s in sets for j, t in sets if i < j and 5 * len(s & t) >= 3 * len(s | t)}
     assert got == want
-    assert sketch_forest.forest_depth(0.6, 64, 0.999999) == 3
+    assert sketch_forest.forest_depths(0.6, 64, 0.999999) == [4, 3]
+
+
+def test_similar_pairs_around_a_common_element(spark):
+    rows = [("k", f"R{i:05d}", ["0", f"x{i:04d}"]) for i in range(1500)]
+    rows += [("k", f"S{i:05d}", ["0", f"x{i:04d}", f"x{i:04d}y"]) for i in range(0, 1500, 3)]
+    df = spark.createDataFrame(rows, "kind string, record string, items array<string>")
+    members, pairs = sketch_forest.similar_classes(df, Fraction(3, 5))
+    got = {(r["a"], r["b"]) for r in sketch_forest.record_pairs(members, pairs).collect()}
+    assert got == {(f"R{i:05d}", f"S{i:05d}") for i in range(0, 1500, 3)}
 
 
 def test_similar_between(spark):
