@@ -6,13 +6,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkweave.plans.durable import Scratch
 
-#: Baskets multiplied at once and the widest block of items.
+#: Baskets counted at once and the widest block of items.
 ROWS, TILE = 2048, 2048
+#: Classes of basket sizes and of item frequencies in the fit of the null: values up to EXACT are their own class, larger ones share one with those within a hundredth.
+EXACT, WIDTH = 512, 0.01
+
+
+def _dense(items: np.ndarray, code: np.ndarray, basket: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pair counts of a block of baskets from products of its 0/1 incidence matrix."""
+    for i in range(0, len(items), TILE):
+        for j in range(i, len(items), TILE):
+            blocks = []
+            for k in (i, j):
+                m = np.zeros((rows, min(TILE, len(items) - k)), np.float32)
+                inside = (code >= k) & (code < k + TILE)
+                m[basket[inside], code[inside] - k] = 1
+                blocks.append(m)
+            together = blocks[0].T @ blocks[1]
+            if i == j:
+                together = np.triu(together, 1)
+            x, y = np.nonzero(together)
+            yield items[x + i], items[y + j], together[x, y].astype(np.int64)
+
+
+def _sparse(items: np.ndarray, code: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same from the few entries of a thin matrix: every entry against the later ones of its basket."""
+    order = np.lexsort((code, np.repeat(np.arange(len(sizes)), sizes)))
+    code = code[order]
+    end = np.repeat(np.cumsum(sizes), sizes)
+    later = end - np.arange(len(code)) - 1
+    x = np.repeat(np.arange(len(code)), later)
+    y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later) - later, later)
+    pair, n = np.unique(code[x] * np.int64(len(items)) + code[y], return_counts=True)
+    yield items[pair // len(items)], items[pair % len(items)], n
 
 
 def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,19 +68,9 @@ def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             basket = np.repeat(np.arange(len(part)), np.diff(part.offsets.to_numpy()))
             items, code = np.unique(flat, return_inverse=True)
-            for i in range(0, len(items), TILE):
-                for j in range(i, len(items), TILE):
-                    blocks = []
-                    for k in (i, j):
-                        m = np.zeros((len(part), min(TILE, len(items) - k)), np.float32)
-                        inside = (code >= k) & (code < k + TILE)
-                        m[basket[inside], code[inside] - k] = 1
-                        blocks.append(m)
-                    together = blocks[0].T @ blocks[1]
-                    if i == j:
-                        together = np.triu(together, 1)
-                    x, y = np.nonzero(together)
-                    held.append((items[x + i], items[y + j], together[x, y].astype(np.int64)))
+            sizes = np.bincount(basket)
+            pairs = int((sizes * (sizes - 1) // 2).sum())
+            held += _sparse(items, code, sizes) if pairs * 400 < len(part) * len(items) ** 2 // 2 else _dense(items, code, basket, len(part))
             if sum(len(h[0]) for h in held) > 1_000_000:
                 held[:] = [merged()]
                 if len(held[0][0]) > 500_000:  # mostly new pairs: pass them on, the sum follows
@@ -69,7 +90,8 @@ def pair_counts(sets: DataFrame) -> DataFrame:
 
     Blocks of baskets become 0/1 incidence matrices whose products hold all
     pair counts of the block, so no pair of a basket is ever a row; only summed
-    counts are shuffled.
+    counts are shuffled. A block with far more items than its baskets are long is
+    counted by its entries instead, with the same result.
     """
     return sets.select("items").mapInArrow(_block_counts, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
@@ -78,27 +100,32 @@ def item_counts(sets: DataFrame) -> DataFrame:
     return sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fit_null(size_counts: dict[int, int], degree_counts: dict[int, int], tolerance: float = 1e-10, max_rounds: int = 10_000) -> tuple[dict[int, float], dict[int, float]]:
+def fit_null(size_counts: dict[float, int], degree_counts: dict[float, int], tolerance: float = 1e-9, max_rounds: int = 20_000) -> tuple[dict[float, float], dict[float, float]]:
     """Fitnesses (by basket size, by item frequency) of the bipartite configuration model.
 
     p(basket, item) = x y / (1 + x y), with expected basket sizes and item
     frequencies equal to the observed ones. Baskets of one size share x and
     items of one frequency share y, so the fit works on the distinct sizes and
-    frequencies only. Full baskets and items of every basket have p = 1 and are
-    approached, not reached, by the iteration.
+    frequencies only. Full baskets and items of every basket have p = 1, which
+    is approached up to a fitness of 1e12. Raises if the expected margins don't
+    come within a thousandth of the observed ones.
     """
-    k, nk = np.array(sorted(size_counts), float), np.array([size_counts[i] for i in sorted(size_counts)], float)
-    d, nd = np.array(sorted(degree_counts), float), np.array([degree_counts[i] for i in sorted(degree_counts)], float)
+    sizes, degrees = sorted(size_counts), sorted(degree_counts)
+    k, nk = np.array(sizes, float), np.array([size_counts[v] for v in sizes], float)
+    d, nd = np.array(degrees, float), np.array([degree_counts[v] for v in degrees], float)
     total = (k * nk).sum()
     x, y = k / np.sqrt(total), d / np.sqrt(total)
+    gap = np.inf
     for _ in range(max_rounds):
-        x_new = k / (nd * y / (1 + np.outer(x, y))).sum(1)
-        y_new = d / (nk[:, None] * x_new[:, None] / (1 + np.outer(x_new, y))).sum(0)
-        gap = max(np.abs(x_new / x - 1).max(), np.abs(y_new / y - 1).max())
-        x, y = np.minimum(x_new, 1e12), np.minimum(y_new, 1e12)
+        x = np.minimum(k / (nd * y / (1 + np.outer(x, y))).sum(1), 1e12)
+        got = y * ((nk * x)[:, None] / (1 + np.outer(x, y))).sum(0)
+        gap = np.abs(got / d - 1).max()
+        y = np.minimum(y * d / got, 1e12)
         if gap < tolerance:
             break
-    return dict(zip(map(int, k), x)), dict(zip(map(int, d), y))
+    if gap > 1e-3:
+        raise RuntimeError(f"the null misses a margin by a share of {gap:.2g}")
+    return dict(zip(sizes, x)), dict(zip(degrees, y))
 
 
 def log_tail(q: np.ndarray, times: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -164,21 +191,19 @@ def surprise(sets: DataFrame, fdr: float = 0.01) -> DataFrame:
     sets = scratch.write(sets, "baskets")
     counts = scratch.write(pair_counts(sets), "pairs")
     items = scratch.write(item_counts(sets), "items")
-    # distinct sizes and frequencies: at most sqrt(2 x rows) of either
-    size_counts = {r["k"]: r["n"] for r in sets.groupBy(F.size("items").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("k > 0").collect()}
-    degree_counts = {r["k"]: r["n"] for r in items.groupBy(F.col("n").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    size_counts, degree_counts = _histogram(sets.select(F.size("items").alias("k")).where("k > 0")), _histogram(items.select(F.col("n").alias("k")))
     n_baskets, n_items = sum(size_counts.values()), sum(degree_counts.values())
     x, y = fit_null(size_counts, degree_counts) if size_counts else ({}, {})
-    sizes = sorted(x)
-    xs, times = np.array([x[k] for k in sizes]), np.array([size_counts[k] for k in sizes], float)
+    xs, times = np.array(list(x.values())), np.array([size_counts[k] for k in x], float)
+    at, height = np.log(np.array(list(y), float)), np.log(np.array(list(y.values()), float))
+    weight = lambda n: np.exp(np.interp(np.log(n), at, height))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 t = b.slice(lo, 1024)
                 n, na, nb = (t.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
-                ya, yb = np.array([y[v] for v in na.tolist()]), np.array([y[v] for v in nb.tolist()])
-                pa_, pb = np.outer(ya, xs), np.outer(yb, xs)
+                pa_, pb = np.outer(weight(na), xs), np.outer(weight(nb), xs)
                 q = pa_ / (1 + pa_) * (pb / (1 + pb))
                 lp = log_tail(q, times, n) / np.log(10)
                 cols = [*(t.column(i) for i in range(5)), pa.array((q * times).sum(1)), pa.array(lp)]
@@ -196,6 +221,31 @@ def surprise(sets: DataFrame, fdr: float = 0.01) -> DataFrame:
     )
 
 
+def _class(v: Column) -> Column:
+    return F.when(v <= EXACT, v).otherwise(EXACT + 1 + F.floor(F.log(v / EXACT) / F.log1p(F.lit(WIDTH)))).cast("bigint")
+
+
+def _histogram(values: DataFrame) -> dict[float, int]:
+    """How many of the values in column k are in each class, under the class's mean; at most one row a class comes to the driver."""
+    rows = values.groupBy(_class(F.col("k").cast("double")).alias("c")).agg(F.avg("k").alias("k"), F.count(F.lit(1)).alias("n")).orderBy("c").collect()
+    return {float(r["k"]): r["n"] for r in rows}
+
+
+def null_margins(sets: DataFrame) -> DataFrame:
+    """(item, n, expected): in how many baskets each item is, and is expected under the fitted null."""
+    sets = Scratch(sets.sparkSession).write(sets, "baskets")
+    items = item_counts(sets)
+    size_counts, degree_counts = _histogram(sets.select(F.size("items").alias("k")).where("k > 0")), _histogram(items.select(F.col("n").alias("k")))
+    x, y = fit_null(size_counts, degree_counts) if size_counts else ({}, {})
+    # one row per class of frequencies
+    rows = [(k, sum(n * x[s] * v / (1 + x[s] * v) for s, n in size_counts.items()) / k) for k, v in y.items()]
+    ratio = sets.sparkSession.createDataFrame([(float(k), float(r)) for k, r in rows], "at double, ratio double")
+    if not rows:
+        return items.select("item", "n", F.lit(None).cast("double").alias("expected"))
+    classed = items.withColumn("class", _class(F.col("n").cast("double")))
+    return classed.join(ratio.withColumn("class", _class(F.col("at"))), "class").select("item", "n", (F.col("n") * F.col("ratio")).alias("expected"))
+
+
 def _bh_limit(scored: DataFrame, tests: float, fdr: float) -> float:
     """Largest log10 p with p <= rank / tests * fdr, ranks by a prefix sum over 1/50 decades; -inf if none."""
     top = float(np.log10(fdr))

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from linkweave.plans.durable import Scratch
 
-#: Clusters with more members than this are joined by broadcasting their (few) minima instead of moving their members to one task.
-HOT_MEMBERS = 100_000
-
 
 def hash_to_min(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
     """(vertex, group): every vertex of the pairs with the smallest vertex it reaches, by hash-to-min.
@@ -28,19 +25,11 @@ def hash_to_min(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int =
     clusters = scratch.write(p.select(F.explode(both).alias("p")).select("p.*").distinct(), "clusters")
     mark = _mark(clusters)
     for _ in range(max_rounds):
-        minima = scratch.write(clusters.groupBy("v").agg(F.min("w").alias("m"), F.count(F.lit(1)).alias("n")), "minima")
-        # at most rows(clusters) / HOT_MEMBERS vertices are hot
-        hot = minima.where(F.col("n") > HOT_MEMBERS).select("v", "m")
-        cool = minima.where(F.col("n") <= HOT_MEMBERS).select("v", "m")
-        if hot.limit(1).count():
-            few = F.broadcast(hot)
-            sent = clusters.join(few, "v").unionByName(clusters.join(few, "v", "left_anti").join(cool, "v"))
-        else:
-            sent = clusters.join(cool, "v")
+        minima = clusters.groupBy("v").agg(F.min("w").alias("m"))
+        sent = clusters.join(minima, "v")
         moved = F.array(F.struct(F.col("m").alias("v"), "w"), F.struct(F.col("w").alias("v"), F.col("m").alias("w")))
         after = scratch.write(sent.select(F.explode(moved).alias("p")).select("p.*").distinct(), "clusters")
         new_mark = _mark(after)
-        scratch.drop(minima)
         scratch.drop(clusters)
         clusters = after
         if new_mark == mark:

@@ -284,6 +284,12 @@ def _filter_of(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got.column("at").to_numpy(), got.column("bits").to_numpy()
 
 
+def sized(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, chars, bytes, h1, h2, text) of each text that is not blank: its lengths, and a 128-bit hash of it without blanks at its end."""
+    docs = spread(documents.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("doc_id", "text", "source"))
+    return docs.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), *[F.xxhash64(F.lit(k), F.rtrim("text")).alias(f"h{k}") for k in (1, 2)], "text")
+
+
 def limits(ended: DataFrame, least: int = 4, ratio: float = 8.0, around: int = 40) -> DataFrame:
     """(source, unit, length): lengths (chars or bytes) at which a source's texts pile up.
 
@@ -320,16 +326,16 @@ def truncated(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     scratch = Scratch(spark)
-    docs = spread(documents.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("doc_id", "text", "source"))
-    sized = docs.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), *[F.xxhash64(F.lit(k), F.rtrim("text")).alias(f"h{k}") for k in (1, 2)], "text")
-    ended = scratch.write(sized.mapInArrow(_ends_of, _ENDS), "ends")
+    lengths = sized(documents)
+    docs = lengths.select("text")
+    ended = scratch.write(lengths.mapInArrow(_ends_of, _ENDS), "ends")
 
     # texts that end alike are one point
     alike = ["tail", "number", "keys", "begun"]
     pointed = ended.where("keys IS NOT NULL").withColumn("point", F.xxhash64(*alike))
     points = scratch.write(pointed.select("point", "last", *alike).dropDuplicates(["point"]), "points")
     keys = points.select(F.explode(F.concat("keys", "begun", F.array("last"))).alias("key")).distinct()
-    seen = docs.select("text").mapInArrow(_counts(_filter_of(keys)), "key bigint, t bigint, w bigint, c bigint, n bigint, more bigint")
+    seen = docs.mapInArrow(_counts(_filter_of(keys)), "key bigint, t bigint, w bigint, c bigint, n bigint, more bigint")
     counts = seen.groupBy("key").agg(*[F.sum(k).alias(k) for k in (*"twcn", "more")])
     # how many texts end in a line's whole words without a mark, and of how many sources
     closing = pointed.where("NOT stopped").select(F.col("keys")[0].alias("key"), F.coalesce("source", F.lit("")).alias("source")).groupBy("key", "source").agg(F.count(F.lit(1)).alias("e")).groupBy("key").agg(F.sum("e").alias("e"), F.count(F.lit(1)).alias("sources"))

@@ -72,3 +72,18 @@ def test_tail_matches_exact_distribution():
 def test_empty(spark):
     sets = cooccurrence.baskets(spark.createDataFrame([], "card bigint, merchant bigint"), "card", "merchant")
     assert cooccurrence.surprise(sets).count() == 0
+
+
+def test_thin_blocks_and_large_sizes(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = [(b, i) for b in range(400) for i in {rnd.randrange(5000) for _ in range(rnd.randrange(1, 6))} | ({1, 2} if b % 7 == 0 else set())]
+    sets = cooccurrence.baskets(spark.createDataFrame(rows, "card bigint, merchant bigint"), "card", "merchant")
+    by = {}
+    for b, i in rows:
+        by.setdefault(b, set()).add(i)
+    want = Counter(p for s in by.values() for p in itertools.combinations(sorted(s), 2))
+    assert {(r["a"], r["b"]): r["n"] for r in cooccurrence.pair_counts(sets).collect()} == want
+    full = {(r["a"], r["b"]): r["log10_p"] for r in cooccurrence.surprise(sets).collect()}
+    monkeypatch.setattr(cooccurrence, "EXACT", 3)
+    binned = {(r["a"], r["b"]): r["log10_p"] for r in cooccurrence.surprise(sets).collect()}
+    assert full.keys() == binned.keys() and max(abs(full[k] - binned[k]) for k in full) < 0.02 * max(-v for v in full.values())

@@ -40,11 +40,23 @@ def test_hash_to_min(spark, seed):
     assert got == _components(pairs)
 
 
-def test_hash_to_min_hot_clusters(spark, monkeypatch):
-    monkeypatch.setattr(hash_to_min, "HOT_MEMBERS", 20)
-    pairs = _graph(3)
-    got = {r["vertex"]: r["group"] for r in hash_to_min.hash_to_min(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
-    assert got == _components(pairs)
+@pytest.fixture
+def all_skewed(spark):
+    """Every partition is taken as skewed and split."""
+    conf = {f"spark.sql.adaptive.skewJoin.{k}": v for k, v in (("skewedPartitionThresholdInBytes", "1b"), ("skewedPartitionFactor", "0.01"))} | {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k in conf:
+        spark.conf.unset(k)
+
+
+def test_a_vertex_with_most_of_the_pairs(spark, all_skewed):
+    pairs = [*_graph(3), *((1_000_000, 1_000_000 + i) for i in range(1, 3000)), *((2_000_000 - i, 2_000_000) for i in range(1, 3000))]
+    df = spark.createDataFrame(pairs, "a bigint, b bigint")
+    want = _components(pairs)
+    assert {r["vertex"]: r["group"] for r in hash_to_min.hash_to_min(df).collect()} == want
+    assert {r["vertex"]: r["group"] for r in random_mate.smallest_per_root(random_mate.contract(df)).collect()} == want
 
 
 def test_hash_to_min_empty(spark):
