@@ -37,6 +37,8 @@ FINAL_TEXTS, FINAL_SOURCES = 8, 3
 #: Bits (as a power of 2) of the filter of contexts asked for: 8 MB at every size of the data. A full one lets more rows through to the exact join, and loses none.
 FILTER_BITS = 26
 
+#: Keys of contexts leave the low three bits to the column they are counted in.
+_KEY = ~np.uint64(7)
 _LINE_START, _FIRST, _OWN, _BEGUN, _LAST = wordscan.mix(np.arange(1, 6, dtype=np.uint64))
 
 
@@ -104,24 +106,23 @@ def _pieces(text: str) -> Iterator[tuple[str, int, int]]:
         yield text[lead:end], a - lead, b - lead
 
 
-def _seen(scan: Scan, low: np.ndarray, high: np.ndarray, asked: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
-    """[keys, column] of everything asked for: contexts with what follows (t w c n as columns 0 to 3), beginnings of longer words behind a context (4). Words of text i count if they start in [low[i], high[i])."""
+def _seen(scan: Scan, low: np.ndarray, high: np.ndarray, asked: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The key of everything asked for, with its column in the low bits: contexts with what follows (t w c n as 0 to 3), beginnings of longer words behind a context (4). Words of text i count if they start in [low[i], high[i])."""
     words = scan.words()
     place = _places(scan)
     kinds = _kinds(scan, place)
     inside = scan.start - scan.offset[scan.text]
     counted = (kinds != "e") & (inside >= low[scan.text]) & (inside < high[scan.text])
-    column = np.zeros(len(words), np.int8)
+    column = np.zeros(len(words), np.uint64)
     for no, k in enumerate("twcn"):
         column[kinds == k] = no
     before = _before(words, place)
-    keys, columns = [], []
+    keys = []
     for order, b in enumerate(before, 1):
         at = np.flatnonzero(counted & (place >= order - 2))
-        key = fold(b[at], words[at] ^ _OWN)
+        key = fold(b[at], words[at] ^ _OWN) & _KEY
         hit = asked(key)
-        keys.append(key[hit])
-        columns.append(column[at[hit]])
+        keys.append(key[hit] | column[at[hit]])
     # beginnings of each word: up to every character inside it
     size = scan.end - scan.start - 1
     word = np.repeat(np.flatnonzero(counted), size[counted])
@@ -132,11 +133,9 @@ def _seen(scan: Scan, low: np.ndarray, high: np.ndarray, asked: Callable[[np.nda
     word, part = word[hit], part[hit]
     for order, b in enumerate(before, 1):
         at = place[word] >= order - 2
-        key = fold(b[word[at]], part[at] ^ _BEGUN)
-        key = key[asked(key)]
-        keys.append(key)
-        columns.append(np.full(len(key), 4, np.int8))
-    return [np.concatenate(keys), np.concatenate(columns)]
+        key = fold(b[word[at]], part[at] ^ _BEGUN) & _KEY
+        keys.append(key[asked(key)] | np.uint64(4))
+    return np.concatenate(keys)
 
 
 def _counts(filter_words: tuple[np.ndarray, np.ndarray]):
@@ -145,31 +144,34 @@ def _counts(filter_words: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
         bits[filter_words[0]] = filter_words[1].view(np.uint64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # sorted keys with columns, and how often
 
         def asked(key: np.ndarray) -> np.ndarray:
             at = key >> np.uint64(64 - FILTER_BITS)
             return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
-        def merged():
-            key = np.concatenate([k for k, _ in held])
-            n = np.concatenate([n for _, n in held])
-            keys, back = np.unique(key, return_inverse=True)
-            out = np.zeros((len(keys), 5), np.int64)
-            np.add.at(out, back, n)
-            return keys, out
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            key, n = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(key)
+            key, n = key[order], n[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+            return key[first], np.add.reduceat(n, first) if len(key) else n
 
-        def out():
-            keys, n = merged()
+        def out() -> pa.RecordBatch:
+            key, n = merged()
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(n[:, k]) for k in range(5))], names=["key", *"twcn", "more"])
+            keys, back = np.unique(key & _KEY, return_inverse=True)
+            wide = np.zeros((len(keys), 5), np.int64)
+            wide[back, (key & ~_KEY).astype(np.int64)] = n
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(wide[:, k]) for k in range(5))], names=["key", *"twcn", "more"])
 
         def take(scan: Scan, low, high) -> bool:
-            key, column = _seen(scan, low, high, asked)
-            held.append(_tally(key, column))
-            if sum(len(k) for k, _ in held) > 400_000:
+            key = np.sort(_seen(scan, low, high, asked))
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+            held.append((key[first], np.diff(np.r_[first, len(key)])))
+            if sum(len(k) for k, _ in held) > 1_000_000:
                 held[:] = [merged()]
-                return len(held[0][0]) > 200_000
+                return len(held[0][0]) > 500_000
             return False
 
         for b in batches:
@@ -189,13 +191,6 @@ def _counts(filter_words: tuple[np.ndarray, np.ndarray]):
     return run
 
 
-def _tally(key: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how often each occurs in each of the 5 columns."""
-    keys, back = np.unique(key, return_inverse=True)
-    n = np.bincount(back * 5 + column, minlength=5 * len(keys)) if len(keys) else np.zeros(0, np.int64)
-    return keys, n.reshape(-1, 5).astype(np.int64)
-
-
 def _tail(body: str) -> tuple[str, str] | None:
     """The last ORDERS words of the last line that has one, up to the line's end, and what stands behind them there."""
     end = len(body)
@@ -226,8 +221,8 @@ def _ends_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, place = scan.words(), _places(scan)
             before = _before(words, place)
             at = np.flatnonzero(np.r_[scan.text[1:] != scan.text[:-1], True])
-            own = [fold(x[at], words[at] ^ _OWN).view(np.int64).tolist() for x in before]
-            more = [fold(x[at], words[at] ^ _BEGUN).view(np.int64).tolist() for x in before]
+            own = [(fold(x[at], words[at] ^ _OWN) & _KEY).view(np.int64).tolist() for x in before]
+            more = [(fold(x[at], words[at] ^ _BEGUN) & _KEY).view(np.int64).tolist() for x in before]
             spot = (words[at] ^ _LAST).view(np.int64).tolist()
             zero = (scan.codes[scan.end[at] - 1] == 48).tolist()
             for n, (i, p) in enumerate(zip(have, place[at].tolist())):
@@ -286,7 +281,7 @@ def _filter_of(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def sized(documents: DataFrame) -> DataFrame:
     """(doc_id, source, chars, bytes, h1, h2, text) of each text that is not blank: its lengths, and a 128-bit hash of it without blanks at its end."""
-    docs = spread(documents.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("doc_id", "text", "source"))
+    docs = spread(documents.where(F.col("text").rlike(r"\S")).select("doc_id", "text", "source"))
     return docs.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), *[F.xxhash64(F.lit(k), F.rtrim("text")).alias(f"h{k}") for k in (1, 2)], "text")
 
 
@@ -361,6 +356,6 @@ def truncated(documents: DataFrame) -> DataFrame:
 
 def truncation_shares(documents: DataFrame) -> DataFrame:
     """(source, texts, cut, share): per source, its non-blank texts, how many are cut and their share."""
-    docs = documents.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("doc_id", "source").distinct()
+    docs = documents.where(F.col("text").rlike(r"\S")).select("doc_id", "source").distinct()
     flagged = docs.join(truncated(documents).select("doc_id").withColumn("cut", F.lit(1)), "doc_id", "left")
     return flagged.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.count("cut").alias("cut")).withColumn("share", F.col("cut") / F.col("texts"))
