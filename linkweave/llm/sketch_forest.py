@@ -28,7 +28,7 @@ def forest_depths(threshold: float, trees: int, target_recall: float) -> list[in
 
 
 def _signatures(trees: int, depths: list[int]):
-    """Rows (kind, sid, size, rare, tree, shallow, deep): per set and tree the hashes of its minhash prefixes of both depths, a whole batch of sets at a time."""
+    """Rows (sid, size, rare, shallow, deep): per set and tree the hashes of its minhash prefixes of both depths, which stand for the tree too, a whole batch of sets at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -39,7 +39,7 @@ def _signatures(trees: int, depths: list[int]):
                 h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 cols = []
                 for tree in range(trees):
-                    prefix = np.zeros(len(part), np.uint64)
+                    prefix = np.full(len(part), tree, np.uint64)
                     kept = []
                     for no in range(1, depths[0] + 1):
                         seed = mix(np.array([tree * depths[0] + no], np.uint64))
@@ -48,14 +48,13 @@ def _signatures(trees: int, depths: list[int]):
                             kept.append(prefix.view(np.int64))
                     cols.append(kept)
                 every = np.tile(np.arange(len(part)), trees)
-                same = part.select(["kind", "sid", "size", "rare"]).take(pa.array(every))
-                number = pa.array(np.repeat(np.arange(trees, dtype=np.int16), len(part)))
-                yield pa.RecordBatch.from_arrays([*same.columns, number, *(pa.array(np.concatenate(c)) for c in zip(*cols))], names=["kind", "sid", "size", "rare", "tree", "shallow", "deep"])
+                same = part.select(["sid", "size", "rare"]).take(pa.array(every))
+                yield pa.RecordBatch.from_arrays([*same.columns, *(pa.array(np.concatenate(c)) for c in zip(*cols))], names=["sid", "size", "rare", "shallow", "deep"])
 
     return run
 
 
-def similar_classes(sets: DataFrame, threshold: Fraction, trees: int = 32, target_recall: float = 0.999999) -> tuple[DataFrame, DataFrame]:
+def similar_classes(sets: DataFrame, threshold: Fraction, trees: int = 16, target_recall: float = 0.999999) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of `sets` (kind, record, items): members (kind, record, sid) names each record's class of equal sets, pairs (a, b) the different classes with a similarity of at least the threshold.
 
     Similarity is (common) / (elements of either). items are arrays without
@@ -82,24 +81,24 @@ def similar_classes(sets: DataFrame, threshold: Fraction, trees: int = 32, targe
 
     items = classes.select("kind", "sid", "size", F.explode("items").alias("item"))
     often = items.groupBy("kind", "item").agg(F.count(F.lit(1)).alias("often"))
-    ranked = items.join(often, ["kind", "item"]).groupBy("kind", "sid", "size").agg(F.array_sort(F.collect_list(F.struct("often", F.xxhash64("item").alias("h"), F.hash("item").alias("short")))).alias("ranked"))
+    ranked = items.join(often, ["kind", "item"]).groupBy("kind", "sid", "size").agg(F.array_sort(F.collect_list(F.struct("often", F.xxhash64("kind", "item").alias("h"), F.hash("item").alias("short")))).alias("ranked"))
     rare = F.slice("ranked", 1, (F.col("size") - F.ceil(F.col("size") * num / den) + 1).cast("int"))
-    ready = ranked.select("kind", "sid", "size", F.transform("ranked", lambda x: x["h"]).alias("hashes"), F.transform(rare, lambda x: x["short"]).alias("rare"))
-    forest = ready.mapInArrow(_signatures(trees, depths), f"kind {sets.schema['kind'].dataType.simpleString()}, sid bigint, size int, rare array<int>, tree smallint, shallow bigint, deep bigint")
-    wide, narrow = Window.partitionBy("kind", "tree", "shallow"), Window.partitionBy("kind", "tree", "shallow", "deep")
+    ready = ranked.select("sid", "size", F.transform("ranked", lambda x: x["h"]).alias("hashes"), F.transform(rare, lambda x: x["short"]).alias("rare"))
+    forest = ready.mapInArrow(_signatures(trees, depths), "sid bigint, size int, rare array<int>, shallow bigint, deep bigint")
+    wide, narrow = Window.partitionBy("shallow"), Window.partitionBy("shallow", "deep")
     forest = scratch.write(forest.withColumn("n", F.count(F.lit(1)).over(wide)).where("n > 1").withColumn("n_deep", F.count(F.lit(1)).over(narrow)).drop("n"), "forest")
 
     fits = (F.col("x.size") * den >= F.col("y.size") * num) & (F.col("y.size") * den >= F.col("x.size") * num)
-    sides = classes.select("sid", "items")
+    sides = classes.select("kind", "sid", "items")
     pairs = None
     for depth, prefix, own in ((depths[0], "deep", forest.where("n_deep > 1")), (depths[1], "shallow", forest)):
-        t = own.select("kind", "tree", *sorted({prefix, "deep"}), "sid", "size", F.explode("rare").alias("element"))
-        keys = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("kind", "tree", prefix, "element")]
+        t = own.select(*sorted({prefix, "deep"}), "sid", "size", F.explode("rare").alias("element"))
+        keys = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in (prefix, "element")]
         apart = [F.col("x.deep") != F.col("y.deep")] if prefix != "deep" else []
         near = t.alias("x").join(t.alias("y"), [*keys, F.col("x.sid") < F.col("y.sid"), fits, *apart]).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
         if pairs is not None:
             near = near.join(pairs, ["a", "b"], "left_anti")
-        both = near.join(sides.select(F.col("sid").alias("a"), F.col("items").alias("x")), "a").join(sides.select(F.col("sid").alias("b"), F.col("items").alias("y")), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+        both = near.join(sides.select("kind", F.col("sid").alias("a"), F.col("items").alias("x")), "a").join(sides.select("kind", F.col("sid").alias("b"), F.col("items").alias("y")), ["kind", "b"]).withColumn("common", F.size(F.array_intersect("x", "y")))
         exact = F.col("common") * den >= (F.size("x") + F.size("y") - F.col("common")) * num
         good = scratch.write(both.where(exact).select("a", "b", "common", (F.size("x") + F.size("y") - F.col("common")).alias("either")), f"pairs_{prefix}")
         pairs = good if pairs is None else pairs.unionByName(good)
