@@ -11,6 +11,9 @@ from linkweave.plans.durable import Scratch
 SOURCE_ORDER = ("ego", "cc", "louvain")
 SIZES = (2, 60)
 
+#: Steps of the deduplication between two written tables.
+STEPS = 2
+
 
 def ego_sets(groups: DataFrame) -> DataFrame:
     """(candidate_id, source, cards): the cards of each capped identity value, read off the groups without expanding edges."""
@@ -37,10 +40,24 @@ def within_sizes(candidates: DataFrame) -> DataFrame:
 
 
 def overlapping(candidates: DataFrame, more_than: float = 0.5) -> DataFrame:
-    """(a, b, jaccard) with a < b for pairs of candidates whose card sets overlap by more than the bound: equi-join on shared cards, no all-pairs."""
-    long = candidates.select("candidate_id", F.size("cards").alias("n"), F.explode("cards").alias("card"))
-    x, y = (long.select(F.col("candidate_id").alias(i), F.col("n").alias(f"n_{i}"), "card") for i in ("a", "b"))
-    common = x.join(y, "card").where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
+    """(a, b, jaccard) with a < b for pairs of candidates whose card sets overlap by more than the bound.
+
+    Two such sets have more than that share of either in common, so they meet in
+    one of the first n - floor(n x bound) cards of each in order of rarity: only
+    on those, and with sizes that allow it, candidates are joined, so a card in
+    very many sets pairs only those that have few rarer ones. Pairs are verified
+    on the whole sets. Repeated cards count once.
+    """
+    sets = candidates.select("candidate_id", F.array_distinct("cards").alias("cards")).withColumn("n", F.size("cards"))
+    each = sets.select("candidate_id", "n", F.explode("cards").alias("card"))
+    often = each.groupBy("card").agg(F.count(F.lit(1)).alias("often"))
+    w = Window.partitionBy("candidate_id").orderBy("often", "card")
+    rare = each.join(often, "card").withColumn("no", F.row_number().over(w)).where(F.col("no") <= F.col("n") - F.floor(F.col("n") * more_than))
+    x, y = (rare.select(F.col("candidate_id").alias(i), F.col("n").alias(f"n_{i}"), "card") for i in ("a", "b"))
+    fits = (F.col("n_a") > F.col("n_b") * more_than) & (F.col("n_b") > F.col("n_a") * more_than)
+    near = x.join(y, "card").where((F.col("a") < F.col("b")) & fits).select("a", "b", "n_a", "n_b").distinct()
+    of = lambda i: sets.select(F.col("candidate_id").alias(i), F.col("cards").alias(f"cards_{i}"))
+    common = near.join(of("a"), "a").join(of("b"), "b").withColumn("c", F.size(F.array_intersect("cards_a", "cards_b")))
     return common.withColumn("jaccard", F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))).where(F.col("jaccard") > more_than).select("a", "b", "jaccard")
 
 
@@ -65,9 +82,14 @@ def deduplicate(candidates: DataFrame, more_than: float = 0.5) -> DataFrame:
     ahead = scratch.write(ahead.select("a", "b", "ra"), "ahead")
     state = scratch.write(order.select(F.col("head").alias("b"), F.lit(None).cast("boolean").alias("kept")), "state")
     while state.where("kept IS NULL").limit(1).count():
-        rivals = ahead.join(state.select(F.col("b").alias("a"), F.col("kept").alias("rival")), "a").groupBy("b").agg(F.bool_or(F.coalesce("rival", F.lit(False))).alias("beaten"), F.bool_or(F.col("rival").isNull()).alias("open"))
-        now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("beaten", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))
-        state = scratch.write(state.join(rivals, "b", "left").select("b", now.alias("kept")), "state")
+        now = state
+        for _ in range(STEPS):  # several steps of the chains of rivals a table
+            rivals = ahead.join(now.select(F.col("b").alias("a"), F.col("kept").alias("rival")), "a").groupBy("b").agg(F.bool_or(F.coalesce("rival", F.lit(False))).alias("beaten"), F.bool_or(F.col("rival").isNull()).alias("open"))
+            settled = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("beaten", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))
+            now = now.join(rivals, "b", "left").select("b", settled.alias("kept"))
+        after = scratch.write(now, "state")
+        scratch.drop(state)
+        state = after
     kept = state.where("kept").select("b")
     into = ahead.join(kept.select(F.col("b").alias("a")), "a").groupBy("b").agg(F.min_by("a", "ra").alias("first"))
     of_head = state.join(into, "b", "left").select(F.col("b").alias("head"), "kept", F.coalesce("first", "b").alias("target"))
@@ -112,3 +134,21 @@ def measures(members: DataFrame, reference: DataFrame) -> DataFrame:
     size = reference.groupBy("ref_id").agg(F.count(F.lit(1)).alias("size"))
     hits = members.join(reference, "card_id").groupBy("candidate_id", "ref_id").agg(F.count(F.lit(1)).alias("c")).join(n, "candidate_id").join(size, "ref_id")
     return hits.select("candidate_id", "ref_id", (F.col("c") / (F.col("n") + F.col("size") - F.col("c"))).alias("jaccard"), (F.col("c") / F.col("size")).alias("covered"))
+
+
+def survivors(candidates: DataFrame, deduplicated: DataFrame) -> DataFrame:
+    """(candidate_id, source, cards, merged_from) of the kept candidates: merged_from lists, in order, those merged into each, at most the near-duplicates of one small set."""
+    into = deduplicated.where("NOT kept").groupBy(F.col("merged_into").alias("candidate_id")).agg(F.array_sort(F.collect_list("candidate_id")).alias("merged_from"))
+    kept = candidates.join(deduplicated.where("kept").select("candidate_id"), "candidate_id")
+    return kept.join(into, "candidate_id", "left").select("candidate_id", "source", "cards", F.coalesce("merged_from", F.array().cast("array<string>")).alias("merged_from"))
+
+
+def missed(covered: DataFrame) -> DataFrame:
+    """ref_id of the reference sets that, by recall(), no candidate of any source covers."""
+    return covered.where("source = 'all' AND NOT covered").select("ref_id")
+
+
+def size_distribution(members: DataFrame) -> DataFrame:
+    """(source, n_cards, n): how many candidates (candidate_id, source, card_id) of each source have so many cards."""
+    sizes = members.groupBy("candidate_id", "source").agg(F.countDistinct("card_id").alias("n_cards"))
+    return sizes.groupBy("source", "n_cards").agg(F.count(F.lit(1)).alias("n"))

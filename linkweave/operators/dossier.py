@@ -73,9 +73,13 @@ def assemble(graph: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def reject_uncited(evidence: DataFrame) -> DataFrame:
-    """The evidence; a blank citation fails the job when the row is read."""
+    """The evidence; blank citations fail the job, which names up to three of a candidate's claims."""
     blank = F.coalesce(F.trim("citation_id"), F.lit("")) == ""
-    return evidence.withColumn("citation_id", F.when(blank, F.raise_error(F.concat(F.lit("claim without citation: "), F.coalesce("claim", F.lit("?"))))).otherwise(F.col("citation_id")))
+    bad = evidence.where(blank).withColumn("no", F.row_number().over(Window.partitionBy("candidate_id").orderBy("claim"))).where("no <= 3")
+    named = bad.groupBy("candidate_id").agg(F.array_join(F.array_sort(F.collect_list(F.coalesce("claim", F.lit("?")))), ", ").alias("bad"))
+    full = evidence.join(named, "candidate_id", "left")
+    checked = F.when(F.col("bad").isNotNull(), F.raise_error(F.concat(F.lit("claim without citation: "), "bad"))).otherwise(F.col("citation_id"))
+    return full.withColumn("citation_id", checked).select(*evidence.columns)
 
 
 def quality(evidence: DataFrame) -> DataFrame:
@@ -87,3 +91,19 @@ def quality(evidence: DataFrame) -> DataFrame:
 def summary(rows: DataFrame) -> DataFrame:
     """One sentence per candidate from cand_size, n_transactions and composite."""
     return rows.select("candidate_id", F.format_string("%d linked cards with %d transactions; composite score %.2f.", "cand_size", "n_transactions", "composite").alias("summary"))
+
+
+def corpus_quality(measured: DataFrame) -> DataFrame:
+    """One row (dossiers, claims, uncited, refs_per_claim) over all rows of quality(); refs_per_claim is the mean of the dossiers'."""
+    return measured.agg(F.count(F.lit(1)).alias("dossiers"), F.coalesce(F.sum("claims"), F.lit(0)).alias("claims"), F.coalesce(F.sum("uncited"), F.lit(0)).alias("uncited"), F.avg("refs_per_claim").alias("refs_per_claim"))
+
+
+def by_kind(evidence: DataFrame) -> DataFrame:
+    """(kind, claims, supports): assembled evidence by the kind of its citation, the part before its colon."""
+    return evidence.groupBy(F.substring_index("citation_id", ":", 1).alias("kind")).agg(F.count(F.lit(1)).alias("claims"), F.coalesce(F.sum("supports"), F.lit(0)).alias("supports"))
+
+
+def elevation(rows: DataFrame) -> DataFrame:
+    """(candidate_id, text): a sentence on how far the own score raises the upstream one, of scoring.scored rows."""
+    text = F.format_string("Upstream score %.2f, own score %.2f: together %.2f without and %.2f with case memory.", *[F.coalesce(c, F.lit(0.0)).cast("double") for c in ("upstream", "own", "plain", "composite")])
+    return rows.select("candidate_id", text.alias("text"))

@@ -15,6 +15,18 @@ def confusion(pred: DataFrame, threshold: float, fn_cost: float, fp_cost: float)
     return c.select("tp", "fp", "fn", "tn", ratio(fp, fp + tn).alias("fpr"), ratio(fn, fn + tp).alias("fnr"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), (fn * fn_cost + fp * fp_cost).alias("cost"))
 
 
+def prior_shift(confused: DataFrame, incidence: float, fn_cost: float, fp_cost: float) -> DataFrame:
+    """One row (rows, cost, per_1k): expected cost of confusion()'s rates where a share `incidence` of what is scored is positive, whatever the share here."""
+    n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    one = (1 - incidence) * F.col("fpr") * fp_cost + incidence * F.col("fnr") * fn_cost
+    return confused.select(n.alias("rows"), (one * n).alias("cost"), (one * 1000).alias("per_1k"))
+
+
+def top_false_positives(pred: DataFrame, key: str, k: int = 1) -> DataFrame:
+    """The k negatives scored highest, of equal scores the smaller key first."""
+    return pred.where("y = 0").orderBy(F.desc("p"), key).limit(k)
+
+
 def sweep(pred: DataFrame, fn_cost: float, fp_cost: float, steps: int = 501, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """(step, threshold, tp, fp, fn, tn, cost, f1) on an even grid.
 

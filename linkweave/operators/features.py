@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkweave.operators import graph
@@ -17,6 +17,10 @@ IDENTITY = ("n_unique_devices", "n_unique_ips", "n_unique_emails", "max_device_r
 BEHAVIOURAL = ("probe_fraction", "amount_escalation", "burst_compression", "small_merchant_concentration", "time_span_hours", "velocity_txn_per_hour", "cashout_fraction", "probe_to_cashout_gap_hours", "merchant_diversity", "geo_spread", "amount_entropy", "night_fraction", "weekend_fraction")
 
 
+#: Columns of a transaction that features are made of.
+READ = ("card_id", "merchant_id", "amount", "timestamp", "ts", *ATTRIBUTES)
+
+
 def gather(members: DataFrame, txn: DataFrame) -> DataFrame:
     """(candidate_id, transaction columns): all transactions of each candidate's cards. members is distinct (candidate_id, card_id)."""
     return members.join(txn, "card_id")
@@ -38,9 +42,9 @@ def shared_slice(rows: DataFrame, shared: DataFrame, attributes: tuple[str, ...]
     hit = hits[0]
     for h in hits[1:]:
         hit = hit | h
-    out = out.withColumn("hit", hit)
-    some = out.groupBy("candidate_id").agg(F.bool_or("hit").alias("some"))
-    return out.join(some, "candidate_id").where("hit OR NOT some").select(*rows.columns)
+    # a shared value stands in some row of its candidate
+    some = shared.where(F.col("attribute").isin(*attributes)).select("candidate_id").distinct().withColumn("some", F.lit(True))
+    return out.withColumn("hit", hit).join(some, "candidate_id", "left").where("hit OR some IS NULL").select(*rows.columns)
 
 
 def identity_features(rows: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -65,19 +69,44 @@ def small_merchants(merchants: DataFrame, txn: DataFrame | None = None) -> DataF
 
 
 def burst(rows: DataFrame, key: str = "candidate_id", seconds: int = BURST_S) -> DataFrame:
-    """(key, densest, n): most rows within any window of so many seconds, both ends included, and all rows with a time."""
-    w = Window.partitionBy(key).orderBy("ts").rangeBetween(0, seconds)
-    return rows.where("ts IS NOT NULL").select(key, F.count(F.lit(1)).over(w).alias("c")).groupBy(key).agg(F.max("c").alias("densest"), F.count(F.lit(1)).alias("n"))
+    """(key, densest, n): most rows within any window of so many seconds, both ends included, and all rows with a time.
+
+    Rows are counted per second first; a window that starts in one stretch of so
+    many seconds ends in the next at the latest, so a key is split by stretches,
+    each seen together with the next one.
+    """
+    stretch = F.floor(F.col("ts") / seconds)
+    each = rows.where("ts IS NOT NULL").groupBy(key, "ts").agg(F.count(F.lit(1)).alias("c"))
+    twice = each.withColumn("part", F.explode(F.array(stretch, stretch - 1)))
+    w = Window.partitionBy(key, "part").orderBy("ts").rangeBetween(0, seconds)
+    starts = twice.withColumn("dense", F.sum("c").over(w)).where(F.col("part") == stretch)
+    return starts.groupBy(key).agg(F.max("dense").alias("densest"), F.sum("c").alias("n"))
+
+
+def _amount_ends() -> list[Column]:
+    """Aggregates: the smallest and the largest amount on the scale of the entropy's bins."""
+    x = F.greatest("amount", F.lit(0.01))
+    return [F.log10(F.min(x)).alias("lo"), F.log10(F.max(x) + 1e-6).alias("hi")]
+
+
+def _bin() -> Column:
+    """The entropy's bin of amount between lo and hi; null without an amount."""
+    place = F.floor(F.round((F.log10(F.greatest("amount", F.lit(0.01))) - F.col("lo")) / (F.col("hi") - F.col("lo")) * ENTROPY_BINS, 9))
+    return F.when(F.col("amount").isNotNull(), F.least(F.greatest(place, F.lit(0)), F.lit(ENTROPY_BINS - 1)))
+
+
+def _bits() -> Column:
+    """Entropy of the bins' counts c, -sum p log2 p = log2 N - sum c log2 c / N; rows without a bin don't count."""
+    c = F.when(F.col("bin").isNotNull(), F.col("c"))
+    return F.log2(F.sum(c)) - F.sum(c * F.log2(c)) / F.sum(c)
 
 
 def entropy(rows: DataFrame) -> DataFrame:
     """(candidate_id, amount_entropy): bits over 12 log-spaced bins from the smallest amount to the largest + 1e-6; amounts up to 0 count as 0.01."""
-    r = rows.where("amount IS NOT NULL").select("candidate_id", F.greatest("amount", F.lit(0.01)).alias("x"))
-    ends = r.groupBy("candidate_id").agg(F.log10(F.min("x")).alias("lo"), F.log10(F.max("x") + 1e-6).alias("hi"))
-    place = F.least(F.greatest(F.floor(F.round((F.log10("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ENTROPY_BINS, 9)), F.lit(0)), F.lit(ENTROPY_BINS - 1))
-    bins = r.join(ends, "candidate_id").groupBy("candidate_id", place.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    # -sum p log2 p = log2 N - sum c log2 c / N
-    return bins.groupBy("candidate_id").agg((F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("amount_entropy"))
+    r = rows.where("amount IS NOT NULL").select("candidate_id", "amount")
+    ends = r.groupBy("candidate_id").agg(*_amount_ends())
+    bins = r.join(ends, "candidate_id").groupBy("candidate_id", _bin().alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    return bins.groupBy("candidate_id").agg(_bits().alias("amount_entropy"))
 
 
 def probe_gap(rows: DataFrame) -> DataFrame:
@@ -90,23 +119,38 @@ def probe_gap(rows: DataFrame) -> DataFrame:
 
 def behavioural_features(rows: DataFrame, small: DataFrame) -> DataFrame:
     """The 13 behavioural columns per candidate over the rows given (the shared slice); a null amount or time satisfies no condition."""
-    r = rows.join(small, "merchant_id", "left")
-    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
-    span = (F.max("ts") - F.min("ts")) / 3600
-    main = r.groupBy("candidate_id").agg(
-        share(F.col("amount") < PROBE_BELOW).alias("probe_fraction"),
-        F.coalesce(F.max("amount") / F.nullif(F.min("amount"), F.lit(0.0)), F.lit(1.0)).alias("amount_escalation"),
-        share(F.col("small")).alias("small_merchant_concentration"),
+    hit = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    amount = F.col("amount")
+    # per merchant first: it is what the merchants are counted by, and small
+    shops = rows.groupBy("candidate_id", "merchant_id").agg(
+        F.count(F.lit(1)).alias("n"), hit(amount < PROBE_BELOW).alias("probes"), hit(amount > CASHOUT_ABOVE).alias("cashouts"),
+        F.min("amount").alias("least"), F.max("amount").alias("most"), F.min("ts").alias("first"), F.max("ts").alias("last"),
+        hit(F.hour("timestamp") < 6).alias("night"), hit(F.weekday("timestamp") >= 5).alias("weekend"),
+        F.min(F.when(amount < PROBE_BELOW, F.col("ts"))).alias("probe"),
+    )
+    per = shops.join(small, "merchant_id", "left").withColumn("small", F.when(F.coalesce("small", F.lit(False)), F.col("n")).otherwise(0))
+    nets = rows.groupBy("candidate_id", F.substring_index("ip_address", ".", 3).alias("net")).agg(F.lit(1)).groupBy("candidate_id").agg(F.count("net").alias("nets"))
+    span, n = (F.max("last") - F.min("first")) / 3600, F.sum("n")
+    main = per.groupBy("candidate_id").agg(
+        (F.sum("probes") / n).alias("probe_fraction"),
+        F.coalesce(F.max("most") / F.nullif(F.min("least"), F.lit(0.0)), F.lit(1.0)).alias("amount_escalation"),
+        (F.sum("small") / n).alias("small_merchant_concentration"),
         F.coalesce(span, F.lit(0.0)).alias("time_span_hours"),
-        (F.count(F.lit(1)) / F.greatest(F.coalesce(span, F.lit(0.0)), F.lit(1e-6))).alias("velocity_txn_per_hour"),
-        share(F.col("amount") > CASHOUT_ABOVE).alias("cashout_fraction"),
-        (F.countDistinct("merchant_id") / F.count(F.lit(1))).alias("merchant_diversity"),
-        (F.countDistinct(F.substring_index("ip_address", ".", 3)) / F.count(F.lit(1))).alias("geo_spread"),
-        share(F.hour("timestamp") < 6).alias("night_fraction"),
-        share(F.weekday("timestamp") >= 5).alias("weekend_fraction"),
+        (n / F.greatest(F.coalesce(span, F.lit(0.0)), F.lit(1e-6))).alias("velocity_txn_per_hour"),
+        (F.sum("cashouts") / n).alias("cashout_fraction"),
+        (F.count("merchant_id") / n).alias("merchant_diversity"),
+        (F.sum("night") / n).alias("night_fraction"),
+        (F.sum("weekend") / n).alias("weekend_fraction"),
+        n.alias("n"), F.min("probe").alias("probe"), F.log10(F.greatest(F.min("least"), F.lit(0.01))).alias("lo"), F.log10(F.greatest(F.max("most"), F.lit(0.01)) + 1e-6).alias("hi"),
     )
-    dense = burst(r).select("candidate_id", (F.col("densest") / F.col("n")).alias("burst_compression"))
-    out = main.join(dense, "candidate_id", "left").join(entropy(r), "candidate_id", "left").join(probe_gap(r).withColumnRenamed("gap_h", "probe_to_cashout_gap_hours"), "candidate_id", "left")
+    main = main.join(nets, "candidate_id").withColumn("geo_spread", F.col("nets") / F.col("n"))
+    main = Scratch(rows.sparkSession).write(main, "main")
+    # one more reading finds the bins between each candidate's ends and the first cashout after its first probe
+    later = F.when((amount > CASHOUT_ABOVE) & (F.col("ts") > F.col("probe")), F.col("ts"))
+    bins = rows.select("candidate_id", "amount", "ts").join(main.select("candidate_id", "lo", "hi", "probe"), "candidate_id").groupBy("candidate_id", "probe", _bin().alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min(later).alias("cashout"))
+    rest = bins.groupBy("candidate_id", "probe").agg(_bits().alias("amount_entropy"), F.min("cashout").alias("cashout")).select("candidate_id", "amount_entropy", ((F.col("cashout") - F.col("probe")) / 3600).alias("probe_to_cashout_gap_hours"))
+    dense = burst(rows).select("candidate_id", (F.col("densest") / F.col("n")).alias("burst_compression"))
+    out = main.join(dense, "candidate_id", "left").join(rest, "candidate_id", "left")
     return out.fillna(-1.0, ["probe_to_cashout_gap_hours"]).fillna(0.0).select("candidate_id", *BEHAVIOURAL)
 
 
@@ -114,8 +158,9 @@ def features(members: DataFrame, txn: DataFrame, small: DataFrame, edges: DataFr
     """One row per candidate with all 31 columns as doubles."""
     scratch = Scratch(members.sparkSession)
     # read by several branches each: written once
-    rows = scratch.write(gather(members, txn), "rows")
-    slice_ = scratch.write(shared_slice(rows, shared_values(rows)), "slice")
+    rows = scratch.write(gather(members, txn).select("candidate_id", *READ), "rows")
+    shared = scratch.write(shared_values(rows), "shared")  # with a known size, its joins needn't move the rows where it is small
+    slice_ = scratch.write(shared_slice(rows, shared), "slice")
     sizes = members.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"))
     known = rows.select("candidate_id").distinct()
     ident = identity_features(rows, sizes)

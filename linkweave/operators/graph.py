@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkweave.plans.durable import Scratch
@@ -10,6 +10,9 @@ from linkweave.plans.durable import Scratch
 #: A vertex changes its community for a gain in linked weight of more than this.
 LEAST_GAIN = 1e-9
 
+#: Edges of the largest component whose communities one task finds.
+LOCAL_EDGES = 20_000
+
 
 def _mark(df: DataFrame) -> tuple:
     h = lambda seed: F.sum(F.xxhash64(F.lit(seed), *df.columns).cast("decimal(38,0)"))
@@ -57,6 +60,13 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("card_id").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("strength"))
 
 
+def vertices(txn: DataFrame, card_world: DataFrame, edges: DataFrame) -> DataFrame:
+    """(card_id, world_id, n_transactions, degree) of every card with a transaction, linked or not; an unknown world is -1."""
+    counts = txn.where("card_id IS NOT NULL").groupBy("card_id").agg(F.count(F.lit(1)).alias("n_transactions"))
+    full = counts.join(card_world, "card_id", "left").join(degrees(edges).select("card_id", "degree"), "card_id", "left")
+    return full.select("card_id", F.coalesce("world_id", F.lit(-1)).alias("world_id"), "n_transactions", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
 def induced(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(candidate_id, edge columns) of edges with both ends in the candidate; members is (candidate_id, card_id)."""
     a = members.select("candidate_id", F.col("card_id").alias("card_a"))
@@ -89,49 +99,58 @@ def clustering(members: DataFrame, inner: DataFrame) -> DataFrame:
 def hop_shape(members: DataFrame, inner: DataFrame, most: int = 50) -> DataFrame:
     """(candidate_id, n_components, diameter): components of the induced subgraph, isolated members counted; its hop diameter, -1 if it has more than `most` members, no edge or several components.
 
-    A candidate's own subgraph is one bounded group; breadth-first search over
-    adjacency bit masks.
+    A candidate's own subgraph is bounded; a task takes many candidates at once.
+    Breadth-first search over adjacency bit masks.
     """
 
     def shape(pdf):
         import pandas as pd
 
-        names = sorted(set(pdf["u"]))
-        at = {c: i for i, c in enumerate(names)}
-        near = [0] * len(names)
-        linked = False
-        for u, v in zip(pdf["u"], pdf["v"]):
-            if v is not None and v == v:
-                linked = True
-                near[at[u]] |= 1 << at[v]
-                near[at[v]] |= 1 << at[u]
-        left, parts, longest = (1 << len(names)) - 1, 0, 0
-
-        def reach(start):
-            seen = front = 1 << start
-            hops = 0
-            while front:
-                grown = 0
-                while front:
-                    low = front & -front
-                    grown |= near[low.bit_length() - 1]
-                    front ^= low
-                front = grown & ~seen
-                seen |= front
-                hops += bool(front)
-            return seen, hops
-
-        while left:
-            seen, _ = reach((left & -left).bit_length() - 1)
-            left &= ~seen
-            parts += 1
-        whole = linked and parts == 1 and len(names) <= most
-        if whole:
-            longest = max(reach(i)[1] for i in range(len(names)))
-        return pd.DataFrame({"candidate_id": [pdf["candidate_id"].iloc[0]], "n_components": [parts], "diameter": [longest if whole else -1]})
-
+        rows = []
+        for candidate, part in pdf.groupby("candidate_id", sort=False):
+            names = sorted(set(part["u"]))
+            at = {c: i for i, c in enumerate(names)}
+            near = [0] * len(names)
+            linked = False
+            for u, v in zip(part["u"].tolist(), part["v"].tolist()):
+                if v is not None and v == v:
+                    linked = True
+                    near[at[u]] |= 1 << at[v]
+                    near[at[v]] |= 1 << at[u]
+            rows.append((candidate, *_hops(near, linked, most)))
+        return pd.DataFrame(rows, columns=["candidate_id", "n_components", "diameter"])
+
+    shares = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = members.select("candidate_id", F.col("card_id").alias("u"), F.lit(None).cast("string").alias("v")).unionByName(inner.select("candidate_id", F.col("card_a").alias("u"), F.col("card_b").alias("v")))
-    return rows.groupBy("candidate_id").applyInPandas(shape, "candidate_id string, n_components bigint, diameter bigint")
+    return rows.groupBy(F.pmod(F.xxhash64("candidate_id"), F.lit(shares)).alias("share")).applyInPandas(shape, "candidate_id string, n_components bigint, diameter bigint")
+
+
+def _hops(near: list[int], linked: bool, most: int) -> tuple[int, int]:
+    """(components, diameter) of a graph given as bit masks of neighbours."""
+    left, parts, longest = (1 << len(near)) - 1, 0, 0
+
+    def reach(start):
+        seen = front = 1 << start
+        hops = 0
+        while front:
+            grown = 0
+            while front:
+                low = front & -front
+                grown |= near[low.bit_length() - 1]
+                front ^= low
+            front = grown & ~seen
+            seen |= front
+            hops += bool(front)
+        return seen, hops
+
+    while left:
+        seen, _ = reach((left & -left).bit_length() - 1)
+        left &= ~seen
+        parts += 1
+    whole = linked and parts == 1 and len(near) <= most
+    if whole:
+        longest = max(reach(i)[1] for i in range(len(near)))
+    return parts, longest if whole else -1
 
 
 def structure(members: DataFrame, edges: DataFrame, n_vertices: int, n_edges: int) -> DataFrame:
@@ -155,9 +174,87 @@ def structure(members: DataFrame, edges: DataFrame, n_vertices: int, n_edges: in
     return plain.join(clustering(members, inner).withColumnRenamed("coefficient", "cand_clustering_coeff"), "candidate_id").join(shape, "candidate_id")
 
 
-def communities(edges: DataFrame, resolutions: list[float], max_levels: int = 64, max_rounds: int = 512) -> DataFrame:
+def communities(edges: DataFrame, resolutions: list[float], parts: DataFrame | None = None, largest: int = LOCAL_EDGES) -> DataFrame:
     """(resolution, vertex, community): modularity communities of the weighted edges (a, b, weight) at each resolution.
 
+    No community reaches over a component, so components of at most `largest`
+    edges are each worked through by one task, vertex by vertex in order of name,
+    level by level, until nothing gains; a component with more is spread over
+    all tasks (spread_communities). Both weigh gains against the whole graph.
+    parts is (vertex, component) where it is known already.
+    """
+    scratch = Scratch(edges.sparkSession)
+    if parts is None:
+        parts = components(edges.select(F.lit(0).alias("g"), "a", "b"))
+    marked = scratch.write(edges.select("a", "b", "weight").join(parts.select(F.col("vertex").alias("a"), "component"), "a"), "marked")
+    sizes = marked.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    total = sizes.agg(F.sum("w").alias("w"), F.max("n").alias("n"), F.sum("n").alias("all")).first()
+    whole = 2.0 * (total["w"] or 0.5)
+    kind = edges.schema["a"].dataType.simpleString()
+    schema = f"resolution double, vertex {kind}, community {kind}"
+    small = marked.join(sizes.where(F.col("n") <= largest).select("component"), "component", "left_semi")
+    # components side by side don't touch each other, so a task takes many at once
+    shares = max(edges.sparkSession.sparkContext.defaultParallelism, 2 * (total["all"] or 0) // max(largest, 1) + 1)
+    found = small.groupBy(F.pmod(F.xxhash64("component"), F.lit(shares)).alias("share")).applyInPandas(lambda pdf: _moved(pdf, resolutions, whole), schema)
+    if (total["n"] or 0) > largest:
+        rest = marked.join(sizes.where(F.col("n") > largest).select("component"), "component", "left_semi")
+        found = found.unionByName(spread_communities(rest.select("a", "b", "weight"), resolutions, whole))
+    return scratch.write(found, "communities")
+
+
+def _moved(pdf, resolutions: list[float], whole: float):
+    """Communities of whole components by sequential moving; a community is named by its smallest vertex, and of equal gains the first by name is taken."""
+    import pandas as pd
+
+    names = sorted(set(pdf["a"]) | set(pdf["b"]))
+    place = {v: i for i, v in enumerate(names)}
+    base: list[dict[int, float]] = [{} for _ in names]
+    for a, b, w in zip(pdf["a"].map(place).tolist(), pdf["b"].map(place).tolist(), pdf["weight"].tolist()):
+        base[a][b] = base[a].get(b, 0.0) + w
+        base[b][a] = base[b].get(a, 0.0) + w
+    rows = []
+    for r in resolutions:
+        arcs, member, moved = base, list(range(len(names))), True
+        while moved:
+            moved, still = False, True
+            degree = [sum(x.values()) for x in arcs]
+            home, weight = list(range(len(arcs))), degree[:]
+            while still:
+                still = False
+                for v, near in enumerate(arcs):
+                    linked: dict[int, float] = {}
+                    for u, w in near.items():
+                        if u != v:
+                            linked[home[u]] = linked.get(home[u], 0.0) + w
+                    now = best = home[v]
+                    weight[now] -= degree[v]
+                    gain = linked.get(now, 0.0) - r * degree[v] * weight[now] / whole
+                    for c in sorted(linked):
+                        other = linked[c] - r * degree[v] * weight[c] / whole
+                        if other > gain + LEAST_GAIN:
+                            best, gain = c, other
+                    weight[best] += degree[v]
+                    if best != now:
+                        home[v], moved, still = best, True, True
+            order = {c: i for i, c in enumerate(sorted(set(home)))}
+            member = [order[home[m]] for m in member]
+            merged: list[dict[int, float]] = [{} for _ in order]
+            for v, near in enumerate(arcs):
+                into = merged[order[home[v]]]
+                for u, w in near.items():
+                    c = order[home[u]]
+                    into[c] = into.get(c, 0.0) + w
+            arcs = merged
+        first: dict[int, str] = {}
+        for v, m in zip(names, member):
+            first.setdefault(m, v)
+        rows += [(float(r), v, first[m]) for v, m in zip(names, member)]
+    return pd.DataFrame(rows, columns=["resolution", "vertex", "community"])
+
+
+def spread_communities(edges: DataFrame, resolutions: list[float], whole: float, max_levels: int = 64, max_rounds: int = 512) -> DataFrame:
+    """communities() of edges of any number, `whole` being twice the weight of the whole graph.
+
     Local moving by joins, all resolutions in one loop: in a round every vertex
     looks at its neighbours' communities for the largest gain over its own.
     Those of one hash half move; moving half of the vertices at a time keeps
@@ -173,26 +270,29 @@ def communities(edges: DataFrame, resolutions: list[float], max_levels: int = 64
     base = edges.select(F.explode(F.array(*map(F.lit, resolutions))).alias("r"), "a", "b", "weight")
     # both directions; a loop of an aggregated vertex counts twice its weight in its degree
     arcs = scratch.write(base.unionByName(base.select("r", F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "arcs")
-    whole = arcs.where(F.col("r") == resolutions[0]).agg(F.sum("weight").alias("w")).first()["w"] or 1.0
     member = None
     for level in range(max_levels):
-        degree = scratch.write(arcs.groupBy("r", F.col("a").alias("v")).agg(F.sum("weight").alias("k")), "degree")
-        label = scratch.write(degree.select("r", "v", F.col("v").alias("c")), "label")
+        # (r, v, c, k): each vertex's community and degree
+        state = arcs.groupBy("r", F.col("a").alias("v")).agg(F.sum("weight").alias("k")).select("r", "v", F.col("v").alias("c"), "k")
+        state = wish = scratch.write(state, "label")
         least, apart, moved = None, False, False
         for no in range(max_rounds):
-            wish = scratch.write(_wishes(arcs, label, degree, whole), "wish")
-            n = wish.count()
+            last, wish = wish, scratch.write(_wishes(arcs, state, whole), "wish")
+            scratch.drop(last)
+            n = wish.where("more IS NOT NULL").count()
             if not n:
                 break
             apart = apart or (least is not None and n > 0.8 * least)
             least, moved = n, True
-            go = _apart(wish) if apart else wish.where(F.pmod(F.xxhash64(F.lit(level * max_rounds + no), "v"), F.lit(2)) == 0)
-            after = scratch.write(label.join(go.select("r", "v", F.col("c").alias("to")), ["r", "v"], "left").select("r", "v", F.coalesce("to", "c").alias("c")), "label")
-            scratch.drop(label)
-            scratch.drop(wish)
-            label = after
+            if apart:
+                go = _apart(wish.where("more IS NOT NULL")).select("r", "v", "to")
+                state = wish.drop("to").join(go, ["r", "v"], "left").select("r", "v", F.coalesce("to", "c").alias("c"), "k")
+            else:
+                half = F.col("more").isNotNull() & (F.pmod(F.xxhash64(F.lit(level * max_rounds + no), "v"), F.lit(2)) == 0)
+                state = wish.select("r", "v", F.when(half, F.col("to")).otherwise(F.col("c")).alias("c"), "k")
         else:
             raise RuntimeError(f"communities still move after {max_rounds} rounds")
+        label = wish.select("r", "v", "c")
         if member is None:
             member = label.select("r", F.col("v").alias("vertex"), F.col("c").alias("community"))
         elif moved:
@@ -208,23 +308,30 @@ def communities(edges: DataFrame, resolutions: list[float], max_levels: int = 64
     raise RuntimeError(f"communities still merge after {max_levels} levels")
 
 
-def _wishes(arcs: DataFrame, label: DataFrame, degree: DataFrame, whole: float) -> DataFrame:
-    """(r, v, now, c, more): each vertex that gains by leaving community now for c, and by how much."""
-    total = label.join(degree, ["r", "v"]).groupBy("r", "c").agg(F.sum("k").alias("total"))
-    near = arcs.where("a <> b").join(label.select("r", F.col("v").alias("b"), "c"), ["r", "b"]).select("r", F.col("a").alias("v"), "c", "weight")
-    options = near.unionByName(label.withColumn("weight", F.lit(0.0))).groupBy("r", "v", "c").agg(F.sum("weight").alias("to"))
-    full = options.join(total, ["r", "c"]).join(degree, ["r", "v"]).join(label.select("r", "v", F.col("c").alias("now")), ["r", "v"])
+def _wishes(arcs: DataFrame, state: DataFrame, whole: float) -> DataFrame:
+    """(r, v, c, k, to, more): each vertex of the state, and where it gains by leaving its community c, the community it would go to and by how much; else nulls."""
+    total = state.groupBy("r", "c").agg(F.sum("k").alias("total"))
+    full = state.join(total, ["r", "c"])
+    near = arcs.where("a <> b").join(full.select("r", F.col("v").alias("b"), "c", "total"), ["r", "b"]).select("r", F.col("a").alias("v"), "c", "total", "weight")
+    own = full.select("r", "v", "c", "total", F.lit(0.0).alias("weight"), F.col("c").alias("now"), "k")
+    # one exchange by vertex serves the sums per community, the vertex's own values and its choice
+    every = near.withColumn("now", F.lit(None).cast(state.schema["c"].dataType)).withColumn("k", F.lit(None).cast("double")).unionByName(own).repartition("r", "v")
+    options = every.groupBy("r", "v", "c").agg(F.sum("weight").alias("to"), F.max("total").alias("total"), F.max("now").alias("now"), F.max("k").alias("k"))
+    mine = Window.partitionBy("r", "v")
+    options = options.withColumn("now", F.max("now").over(mine)).withColumn("k", F.max("k").over(mine))
     inside = F.when(F.col("c") == F.col("now"), F.col("total") - F.col("k")).otherwise(F.col("total"))
     gain = F.round(F.col("to") - F.col("r") * F.col("k") * inside / whole, 12)
-    best = full.withColumn("gain", gain).groupBy("r", "v", "now").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "c")).alias("best"), F.max(F.when(F.col("c") == F.col("now"), F.col("gain"))).alias("own"))
-    return best.select("r", "v", "now", "best.c", (-F.col("best.loss") - F.col("own")).alias("more")).where((F.col("c") != F.col("now")) & (F.col("more") > LEAST_GAIN))
+    best = options.withColumn("gain", gain).groupBy("r", "v").agg(F.max("now").alias("now"), F.max("k").alias("k"), F.min(F.struct((-F.col("gain")).alias("loss"), "c")).alias("best"), F.max(F.when(F.col("c") == F.col("now"), F.col("gain"))).alias("own"))
+    more = -F.col("best.loss") - F.col("own")
+    leaves = (F.col("best.c") != F.col("now")) & (more > LEAST_GAIN)
+    return best.select("r", "v", F.col("now").alias("c"), "k", F.when(leaves, F.col("best.c")).alias("to"), F.when(leaves, more).alias("more"))
 
 
 def _apart(wish: DataFrame) -> DataFrame:
-    """(r, v, c) of the moves that are the largest, of equal ones the first by name, in both communities they touch."""
-    ends = wish.select("r", F.explode(F.array("now", "c")).alias("at"), F.struct((-F.col("more")).alias("less"), "v").alias("rank"))
+    """(r, v, to) of the moves that are the largest, of equal ones the first by name, in both communities they touch."""
+    ends = wish.select("r", F.explode(F.array("c", "to")).alias("at"), F.struct((-F.col("more")).alias("less"), "v").alias("rank"))
     first = ends.groupBy("r", "at").agg(F.min("rank")["v"].alias("v"))
-    return wish.join(first.groupBy("r", "v").agg(F.count(F.lit(1)).alias("n")), ["r", "v"]).where("n = 2").select("r", "v", "c")
+    return wish.join(first.groupBy("r", "v").agg(F.count(F.lit(1)).alias("n")), ["r", "v"]).where("n = 2").select("r", "v", "to")
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

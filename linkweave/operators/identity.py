@@ -74,10 +74,3 @@ def collision_stats(values: DataFrame, limits: DataFrame) -> DataFrame:
         F.expr("percentile(k, 0.5D)").alias("p50"), F.expr("percentile(k, 0.95D)").alias("p95"), F.expr("percentile(k, 0.99D)").alias("p99"),
         F.max("k").alias("k_max"), F.max("cap").alias("cap"), F.count_if(F.col("k") > F.col("cap")).alias("n_over"), F.sum(over).alias("dropped"), F.max(F.expr("k * (k - 1) div 2")).alias("worst_pairs"),
     )
-
-
-def saturation(identity_edges: DataFrame, pairs_by_merchant: DataFrame, n_cards: int) -> DataFrame:
-    """One row: possible card pairs, pairs sharing a merchant, pairs sharing a capped identity value."""
-    tagged = pairs_by_merchant.select(F.lit(1).alias("m"), F.lit(0).alias("i")).unionByName(identity_edges.select(F.lit(0).alias("m"), F.lit(1).alias("i")))
-    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(n) for c, n in (("m", "merchant_pairs"), ("i", "identity_pairs"))]
-    return tagged.agg(*sums).select(F.lit(n_cards * (n_cards - 1) // 2).cast("bigint").alias("possible_pairs"), "merchant_pairs", "identity_pairs")

@@ -87,6 +87,39 @@ def similarity_histogram(queries: DataFrame, stored: DataFrame, steps: int) -> D
     return a.cogroup(b).applyInPandas(count, "step bigint, n bigint").groupBy("step").agg(F.sum("n").alias("n"))
 
 
+def similarity_summary(histogram: DataFrame, steps: int, near: float = 0.8) -> DataFrame:
+    """One row (pairs, p50, p95, share_near) of a similarity_histogram: lower ends of the steps that half and 19 of 20 pairs lie in or below, and the share of pairs at `near` or above."""
+    upto = histogram.withColumn("upto", F.sum("n").over(Window.orderBy("step"))).crossJoin(F.broadcast(histogram.agg(F.sum("n").alias("pairs"))))  # 2 x steps rows and one
+    at = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("pairs"), F.col("step"))) / steps)
+    return upto.groupBy("pairs").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), (F.coalesce(F.sum(F.when(F.col("step") >= round(near * steps), F.col("n"))), F.lit(0)) / F.col("pairs")).alias("share_near"))
+
+
+def fingerprint(scale: DataFrame) -> str:
+    """Hash of a scaler (pos, mean, std at 9 digits): signatures made with another one must not be compared."""
+    row = scale.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.round("mean", 9).alias("m"), F.round("std", 9).alias("s")))), lambda x: F.concat_ws(":", x["pos"].cast("string"), x["m"].cast("string"), x["s"].cast("string"))), "|"), 256).alias("h"))
+    return row.first()["h"]
+
+
+def store(cases: DataFrame, audit: DataFrame, new: DataFrame, scale: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cases, audit) with the new dispositions: of a case the row decided last holds, and every new row, late ones too, is an audit row.
+
+    cases and new have (case_id, disposition, at_us, signature, scaler), audit
+    (case_id, disposition, at_us). Raises where a new row's scaler is not that of
+    `scale`, whose signatures can't be compared with the stored ones.
+    """
+    mark = fingerprint(scale)
+    other = new.where(F.coalesce("scaler", F.lit("")) != mark).limit(1).collect()
+    if other:
+        raise ValueError(f"case {other[0]['case_id']} was scaled otherwise")
+    return upsert(cases, new, ["case_id"], "at_us"), audit.unionByName(new.select("case_id", "disposition", "at_us"))
+
+
+def memory_counts(cases: DataFrame, known_templates: DataFrame, audit: DataFrame) -> DataFrame:
+    """(what, n): stored cases of each disposition, templates and audit rows."""
+    one = lambda df, name: df.agg(F.lit(name).alias("what"), F.count(F.lit(1)).alias("n"))
+    return cases.groupBy(F.concat(F.lit("case:"), F.coalesce(F.col("disposition").cast("string"), F.lit("none"))).alias("what")).agg(F.count(F.lit(1)).alias("n")).unionByName(one(known_templates, "templates")).unionByName(one(audit, "audit"))
+
+
 def page(rows: DataFrame, order: list[Column], skip: int, take: int) -> DataFrame:
     """`take` rows from place `skip` on in a total order."""
     return rows.orderBy(*order).offset(skip).limit(take)

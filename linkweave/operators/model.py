@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -82,13 +83,66 @@ def importance(model: GBTClassificationModel, columns: list[str], spark: SparkSe
     return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())], "feature string, importance double")
 
 
-def save(model: GBTClassificationModel, path: str, columns: list[str], threshold: float) -> None:
-    """The model and, beside it, its columns and threshold."""
+def importance_by_family(important: DataFrame, families: dict[str, list[str]]) -> DataFrame:
+    """(family, features, total, mean) of importance()."""
+    named = important.sparkSession.createDataFrame([(f, c) for f, cs in families.items() for c in cs], "family string, feature string")
+    return important.join(F.broadcast(named), "feature").groupBy("family").agg(F.count(F.lit(1)).alias("features"), F.sum("importance").alias("total"), F.avg("importance").alias("mean"))  # one row a feature
+
+
+@dataclass
+class Trained:
+    """What training gives: out-of-fold scores, the cheapest threshold on them with its measures, the model of all rows, its importance, and the scaler of the features."""
+
+    oof: DataFrame
+    threshold: float
+    measures: dict
+    model: GBTClassificationModel | None
+    columns: list[str]
+    importance: DataFrame | None
+    scale: DataFrame
+
+
+def train(rows: DataFrame, columns: list[str], fn_cost: float, fp_cost: float, fold: str = "fold", incidence: float | None = None, **options) -> Trained:
+    """Cross-validates with every fold left out once, picks the threshold of least cost on the out-of-fold scores, fits on all rows and measures.
+
+    rows has (candidate_id, fold, y, columns). measures: cost, precision, recall,
+    f1 and average precision at the threshold, the share of positives, folds, and
+    with an `incidence` the cost per 1,000 at that share of positives. With one
+    class only there is no model, and scores are 0.
+    """
+    from linkweave.operators import memory
+
+    scratch = Scratch(rows.sparkSession)
+    oof = scratch.write(cross_validate(rows, columns, fold, **options).select("candidate_id", fold, "y", "p"), "oof")
+    best = evaluation.best_thresholds(evaluation.sweep(oof, fn_cost, fp_cost)).first()
+    at = evaluation.confusion(oof, best["cost_threshold"], fn_cost, fp_cost)
+    row = at.first()
+    rank = evaluation.ranking(oof.withColumn("all", F.lit(0)), "all").first()
+    measures = {k: row[k] for k in ("tp", "fp", "fn", "tn", "precision", "recall", "f1", "cost")} | {"threshold": best["cost_threshold"], "f1_threshold": best["f1_threshold"], "average_precision": rank and rank["average_precision"], "roc_auc": rank and rank["roc_auc"], "folds": oof.select(fold).distinct().count(), "rows": rank["n"] if rank else 0, "positives": rank["positives"] if rank else 0}
+    if incidence is not None:
+        measures["per_1k"] = evaluation.prior_shift(at, incidence, fn_cost, fp_cost).first()["per_1k"]
+    whole = fit(rows, columns, **options)
+    scale = memory.scaler(rows.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v")))
+    return Trained(oof, best["cost_threshold"], measures, whole, list(columns), importance(whole, columns, rows.sparkSession) if whole else None, scale)
+
+
+def save(model: GBTClassificationModel, path: str, columns: list[str], threshold: float, scale: DataFrame | None = None, provenance: dict | None = None) -> None:
+    """The model and, beside it, its columns, threshold and provenance, and the scaler."""
     model.write().overwrite().save(f"{path}/model")
     spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(json.dumps({"columns": list(columns), "threshold": threshold}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    spark.createDataFrame([(json.dumps({"columns": list(columns), "threshold": threshold, "provenance": provenance or {}}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    if scale is not None:
+        scale.coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")  # one row a column
 
 
 def load(spark: SparkSession, path: str) -> tuple[GBTClassificationModel, list[str], float]:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     return GBTClassificationModel.load(f"{path}/model"), meta["columns"], meta["threshold"]
+
+
+def load_scaler(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/scaler")
+
+
+def load_provenance(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/meta").first()[0])["provenance"]

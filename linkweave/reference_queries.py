@@ -110,17 +110,21 @@ class Base:
         g = table(self.spark, self.d, "identity_groups").where("trim(value) <> '' AND cardinality <= 12")
         return g.select(F.concat_ws("=", "attribute", "value").alias("ref_id"), F.explode(card_numbers("cards")).alias("c")).distinct().select("ref_id", id_text("c", "CARD").alias("card_id"))
 
+    @property
+    def parts(self):
+        """Components at each edge-weight floor, and at 0 of all edges."""
+        return self.once("parts", lambda: G.components(G.at_floors(self.edges, [0.0, *FLOORS]), "floor"))
+
     @property
     def sets(self):
         """Ego, component and community candidates within the size window."""
-        parts = G.components(G.at_floors(self.edges, FLOORS), "floor")
-        sets = lambda: C.ego_sets(self.groups).unionByName(C.component_sets(parts)).unionByName(C.community_sets(self.communities))
+        sets = lambda: C.ego_sets(self.groups).unionByName(C.component_sets(self.parts.where("floor > 0"))).unionByName(C.community_sets(self.communities))
         return self.once("sets", lambda: C.within_sizes(sets()), write=True)
 
     @property
     def communities(self):
         e = self.edges.select(F.col("card_a").alias("a"), F.col("card_b").alias("b"), "weight")
-        return self.once("communities", lambda: G.communities(e, RESOLUTIONS))
+        return self.once("communities", lambda: G.communities(e, RESOLUTIONS, self.parts.where("floor = 0")))
 
     @property
     def predictions(self):
@@ -201,7 +205,7 @@ def ref_node_degree(spark, d):
 def ref_components(spark, d):
     """Every linked card with its component at each edge-weight floor."""
     b = Base(spark, d)
-    return G.components(G.at_floors(b.edges, FLOORS), "floor").select("floor", F.col("vertex").alias("card_id"), "component")
+    return b.parts.where("floor > 0").select("floor", F.col("vertex").alias("card_id"), "component")
 
 
 def _sets_out(sets):
@@ -214,13 +218,32 @@ def ref_ego_candidates(spark, d):
 
 def ref_component_candidates(spark, d):
     b = Base(spark, d)
-    return _sets_out(C.within_sizes(C.component_sets(G.components(G.at_floors(b.edges, FLOORS), "floor"))))
+    return _sets_out(C.within_sizes(C.component_sets(b.parts.where("floor > 0"))))
+
+
+def _plain_sets(b: Base) -> DataFrame:
+    return C.within_sizes(C.ego_sets(b.groups).unionByName(C.component_sets(b.parts.where("floor > 0"))))
 
 
 def ref_jaccard_pairs(spark, d):
-    """Pairs of ego candidates, as its SQL has them; dedup_kept compares those of every source."""
+    """Pairs of ego and component candidates; communities, which SQL can't give, are compared in dedup_kept."""
+    return C.overlapping(_plain_sets(Base(spark, d))).select(F.col("a").alias("candidate_a"), F.col("b").alias("candidate_b"), r6("jaccard"))
+
+
+def ref_dedup_plain(spark, d):
+    """Greedy removal among ego and component candidates."""
+    return C.deduplicate(_plain_sets(Base(spark, d)))
+
+
+def ref_survivors(spark, d):
+    """The kept candidates of all sources with what was merged into each."""
+    b = Base(spark, d)
+    return C.survivors(b.sets, C.deduplicate(b.sets))
+
+
+def ref_vertices(spark, d):
     b = Base(spark, d)
-    return C.overlapping(C.within_sizes(C.ego_sets(b.groups))).select(F.col("a").alias("candidate_a"), F.col("b").alias("candidate_b"), r6("jaccard"))
+    return G.vertices(b.txn, b.card_world, b.edges).select("card_id", F.col("world_id").cast("bigint").alias("world_id"), "n_transactions", "degree")
 
 
 def ref_dedup_kept(spark, d):
@@ -255,6 +278,21 @@ def ref_set_recall(spark, d):
     return rec.groupBy("source").agg(F.count(F.lit(1)).alias("n_sets"), F.count_if("covered").alias("n_covered"))
 
 
+def _sourced(b: Base) -> DataFrame:
+    source = table(b.spark, b.d, "candidates").groupBy("candidate_id").agg(F.min("source").alias("source"))
+    return b.members.join(source, "candidate_id")
+
+
+def ref_missed_sets(spark, d):
+    """Reference sets that no candidate covers by more than half."""
+    b = Base(spark, d)
+    return C.missed(C.recall(_sourced(b), b.reference))
+
+
+def ref_size_distribution(spark, d):
+    return C.size_distribution(_sourced(Base(spark, d)))
+
+
 def ref_shared_slice(spark, d):
     b = Base(spark, d)
     return X.shared_slice(b.rows, b.inside).select("candidate_id", "transaction_id")
@@ -266,6 +304,12 @@ def ref_device_slice_meta(spark, d):
     return m.select("candidate_id", "n_transactions", F.round("score_mean", 12).alias("score_mean"), r6("score_max"), F.round("score_cashout_mean", 12).alias("score_cashout_mean"), r6("min_amount"), r6("max_amount"), "window_start", "window_end", "probe_ids", "cashout_ids", "shared_devices")
 
 
+def ref_slice_merchants(spark, d):
+    """Merchants of the first 20 probes and cashouts of each candidate's device slice."""
+    b = Base(spark, d)
+    return X.meta(b.rows, b.inside).select("candidate_id", "probe_merchants", "cashout_merchants")
+
+
 def ref_timeline(spark, d):
     b = Base(spark, d)
     return X.timeline(b.rows, b.inside).select("candidate_id", "transaction_id", "tag")
@@ -314,21 +358,27 @@ def ref_halo(spark, d):
     return G.halo(b.members, b.edges)
 
 
-def ref_features(spark, d):
-    """All 31 columns."""
+def _features(spark, d):
     b = Base(spark, d)
+    b.once("txn", lambda: transactions(table(spark, d, "card_txns")), write=True)  # read for edges, cards and rows
     return X.features(b.members, b.txn, b.small, b.edges, b.n_cards, b.n_edges)
 
 
+def ref_features(spark, d):
+    """All 31 columns, to 5 digits."""
+    return _features(spark, d).select("candidate_id", *[F.round(c, 5).alias(c) for c in (*X.STRUCTURAL, *X.IDENTITY, *X.BEHAVIOURAL)])
+
+
 def ref_small_merchants(spark, d):
     return Base(spark, d).small
 
 
 def ref_known_cards(spark, d):
-    """Candidates with a card that has no transaction."""
+    """Cards of each candidate, how many of them have a transaction, and whether some have none."""
     b = Base(spark, d)
     seen = b.txn.where("card_id IS NOT NULL").select("card_id").distinct().withColumn("known", F.lit(1))
-    return b.members.join(seen, "card_id", "left").groupBy("candidate_id").agg(F.count(F.lit(1)).alias("cards"), F.count("known").alias("known"))
+    per = b.members.join(seen, "card_id", "left").groupBy("candidate_id").agg(F.count(F.lit(1)).alias("cards"), F.count("known").alias("known"))
+    return per.withColumn("degraded", F.col("known") < F.col("cards"))
 
 
 def ref_role_profile(spark, d):
@@ -344,6 +394,18 @@ def ref_confusion_cost(spark, d):
     return c.select("tp", "fp", "fn", "tn", *[r6(x) for x in ("fpr", "fnr", "precision", "recall", "f1", "cost")])
 
 
+def ref_prior_shift(spark, d):
+    """Expected cost where one in fifty is positive."""
+    e = E.prior_shift(E.confusion(Base(spark, d).predictions, 0.5, FN_COST, FP_COST), 0.02, FN_COST, FP_COST)
+    return e.select("rows", r6("cost"), r6("per_1k"))
+
+
+def ref_top_false_positive(spark, d):
+    e = table(spark, d, "embeddings").where("label IS NOT NULL")
+    scored = e.select("vec_id", (F.col("label") % 2).cast("int").alias("y"), F.round(0.5 + 0.45 * F.col("embedding")[F.col("label") % 8].cast("double"), 3).alias("p"))
+    return E.top_false_positives(scored, "vec_id").select("vec_id", "p")
+
+
 def ref_threshold_sweep(spark, d):
     s = E.sweep(Base(spark, d).predictions, FN_COST, FP_COST)
     return s.select("step", "threshold", "tp", "fp", "fn", "tn", r6("cost"), r6("f1"))
@@ -374,6 +436,21 @@ def ref_signature_scaler(spark, d):
     return M.scaler(_vectors(spark, d)).select(F.col("pos").cast("bigint").alias("pos"), F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
+def ref_signatures(spark, d):
+    """First entry and sum of entries of each vector's signature."""
+    v = _vectors(spark, d)
+    g = M.signatures(v, "vec_id", "v", M.scaler(v))
+    return g.select("vec_id", F.round(F.col("signature")[0], 6).alias("first"), F.round(F.aggregate("signature", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+def ref_similarity_summary(spark, d):
+    """Median, 95th percentile and share of 0.3 and above of the cosines of every vector whose id is divisible by 20 with all others, in steps of 0.002."""
+    v = _vectors(spark, d)
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("vector"))
+    s = M.similarity_summary(M.similarity_histogram(q, v.select(F.col("vec_id").alias("case_id"), F.col("v").alias("vector")), 500), 500, 0.3)
+    return s.select("pairs", r6("p50"), r6("p95"), r6("share_near"))
+
+
 def ref_cosine_topk(spark, d):
     """The three nearest stored vectors of every vector whose id is divisible by 20, itself included."""
     v = _vectors(spark, d)
@@ -434,6 +511,21 @@ def ref_dossier_quality(spark, d):
     return D.quality(D.reject_uncited(g)).select("candidate_id", "claims", "uncited", r6("refs_per_claim"))
 
 
+def ref_dossier_corpus(spark, d):
+    """Quality of the graph evidence of all candidates together."""
+    return D.corpus_quality(ref_dossier_quality(spark, d)).select("dossiers", "claims", "uncited", r6("refs_per_claim"))
+
+
+def ref_hourly_velocity(spark, d):
+    """Sliding hours per card and identity value."""
+    return windows.velocity(Base(spark, d).txn).select(F.unix_seconds("start").alias("start_s"), "kind", "id", "n", r6("total"))
+
+
+def ref_daily_escalation(spark, d):
+    """Sliding days per card and identity value."""
+    return windows.escalation(Base(spark, d).txn).select(F.unix_seconds("start").alias("start_s"), "kind", "id", "n", r6("escalation"))
+
+
 def ref_rolling_bursts(spark, d):
     """Sliding windows of five minutes per card, as the streaming job counts them."""
     b = Base(spark, d)
@@ -445,7 +537,7 @@ def _training(spark, d):
     """Features, labels from the reference sets, and the world as fold."""
     b = Base(spark, d)
     worlds = C.worlds(b.members, b.card_world).select("candidate_id", F.col("world_id").alias("fold"))
-    f = ref_features(spark, d).join(ref_candidate_labels(spark, d).select("candidate_id", F.col("is_match").cast("int").alias("y")), "candidate_id").join(worlds, "candidate_id")
+    f = _features(spark, d).join(ref_candidate_labels(spark, d).select("candidate_id", F.col("is_match").cast("int").alias("y")), "candidate_id").join(worlds, "candidate_id")
     return materialize(f, "training")
 
 
@@ -455,6 +547,24 @@ def ref_gbt_oof(spark, d):
     return oof.select("candidate_id", "fold", "y", "p")
 
 
+def ref_gbt_folds(spark, d):
+    """(fold, n, positives): what each model leaves out; every world is a fold."""
+    b = Base(spark, d)
+    worlds = C.worlds(b.members, b.card_world).select("candidate_id", F.col("world_id").cast("bigint").alias("fold"))
+    return ref_candidate_labels(spark, d).join(worlds, "candidate_id").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("is_match").alias("positives"))
+
+
+def ref_train(spark, d):
+    """(measure, value) of one training: cross-validation by world, threshold of least cost, fit on all rows."""
+    t = model.train(_training(spark, d), [*X.STRUCTURAL, *X.IDENTITY, *X.BEHAVIOURAL], FN_COST, FP_COST, incidence=0.02)
+    rows = [(k, None if v is None else float(v)) for k, v in sorted(t.measures.items())]
+    families = {"structural": list(X.STRUCTURAL), "identity": list(X.IDENTITY), "behavioural": list(X.BEHAVIOURAL)}
+    measures = spark.createDataFrame(rows, "measure string, value double")
+    if t.importance is None:
+        return measures
+    return measures.unionByName(model.importance_by_family(t.importance, families).select(F.concat(F.lit("importance_"), "family").alias("measure"), F.col("total").alias("value")))
+
+
 def ref_ablation(spark, d):
     """Average precision and least cost with all columns and without each family, one world left out at a time."""
     families = {"structural": list(X.STRUCTURAL), "identity": list(X.IDENTITY), "behavioural": list(X.BEHAVIOURAL)}

@@ -99,7 +99,7 @@ QUERIES: dict[str, str] = {
     "graph_stats": "SELECT (SELECT count(DISTINCT card_id) FROM txn) AS nodes, (SELECT count(*) FROM edge) AS edges, (SELECT count(DISTINCT m) FROM all_part) + (SELECT count(DISTINCT card_id) FROM txn) - (SELECT count(*) FROM all_part) AS components, (SELECT max(c) FROM (SELECT count(*) AS c FROM all_part GROUP BY m)) AS largest",
     "ego_candidates": "SELECT candidate_id, source, size, cards FROM ego",
     "component_candidates": "SELECT 'cc:' || CAST(floor AS VARCHAR) || ':' || component AS candidate_id, 'cc' AS source, count(*) AS size, string_agg(card_id, ',' ORDER BY card_id) AS cards FROM part GROUP BY floor, component HAVING count(*) BETWEEN 2 AND 60",
-    "jaccard_pairs": "SELECT a AS candidate_a, b AS candidate_b, round(c / (na + nb - c), 6) AS jaccard FROM (SELECT x.candidate_id AS a, y.candidate_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c FROM ego_card x JOIN ego_card y ON x.card_id = y.card_id AND x.candidate_id < y.candidate_id WHERE x.n BETWEEN 2 AND 60 AND y.n BETWEEN 2 AND 60 GROUP BY 1, 2) WHERE c / (na + nb - c) > 0.5",
+    "jaccard_pairs": "SELECT a AS candidate_a, b AS candidate_b, round(c / (na + nb - c), 6) AS jaccard FROM (SELECT x.candidate_id AS a, y.candidate_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c FROM set_card x JOIN set_card y ON x.card_id = y.card_id AND x.candidate_id < y.candidate_id WHERE x.n BETWEEN 2 AND 60 AND y.n BETWEEN 2 AND 60 GROUP BY 1, 2) WHERE c / (na + nb - c) > 0.5",
     "candidate_world": "SELECT candidate_id, CAST(world_id AS BIGINT) AS world_id, n_worlds FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY n DESC, world_id) AS no, count(*) OVER (PARTITION BY candidate_id) AS n_worlds FROM cworld) WHERE no = 1",
     "best_overlap": "SELECT candidate_id, ref_id, round(overlap, 6) AS overlap FROM best",
     "candidate_labels": "SELECT candidate_id, ref_id AS best_ref_id, round(coalesce(overlap, 0), 4) AS best_overlap, CAST(coalesce(overlap, 0) > 0.5 AS BIGINT) AS is_match FROM csize LEFT JOIN best USING (candidate_id)",
@@ -127,7 +127,7 @@ QUERIES: dict[str, str] = {
       LEFT JOIN (SELECT candidate_id, count(*) AS m FROM inner_edge GROUP BY candidate_id) e USING (candidate_id)""",
     "halo": "SELECT DISTINCT m.candidate_id, a.v AS card_id FROM member m JOIN arc a ON a.u = m.card_id WHERE NOT EXISTS (SELECT 1 FROM member x WHERE x.candidate_id = m.candidate_id AND x.card_id = a.v)",
     "small_merchants": "SELECT * FROM small",
-    "known_cards": "SELECT candidate_id, count(*) AS cards, count(*) FILTER (card_id IN (SELECT card_id FROM txn WHERE card_id IS NOT NULL)) AS known FROM member GROUP BY candidate_id",
+    "known_cards": "SELECT *, known < cards AS degraded FROM (SELECT candidate_id, count(*) AS cards, count(*) FILTER (card_id IN (SELECT card_id FROM txn WHERE card_id IS NOT NULL)) AS known FROM member GROUP BY candidate_id)",
     "role_profile": f"SELECT category, count(*) AS n, round(avg(CAST(amount < 10 AS INT)), 6) AS share_probe, round(quantile_cont(amount, 0.5), 6) AS median, max(amount) AS largest, min(amount) AS smallest, round(avg(vulcan_score), 6) AS mean_score FROM txn JOIN (SELECT merchant_id, max(category) AS category FROM (SELECT {sql_id('merchant_id', 'MERCH')} AS merchant_id, category FROM merchants) WHERE merchant_id IS NOT NULL AND category IS NOT NULL GROUP BY merchant_id) USING (merchant_id) WHERE amount IS NOT NULL GROUP BY category",
     "confusion_cost": "SELECT tp, fp, fn, tn, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) AS fpr, round(coalesce(fn / nullif(fn + tp, 0), 0), 6) AS fnr, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(fn * 850000.0::DOUBLE + fp * 230000.0::DOUBLE, 6) AS cost FROM (SELECT count(*) FILTER (y = 1 AND p >= 0.5) AS tp, count(*) FILTER (y <> 1 AND p >= 0.5) AS fp, count(*) FILTER (y = 1 AND p < 0.5) AS fn, count(*) FILTER (y <> 1 AND p < 0.5) AS tn FROM pred)",
     "threshold_sweep": "SELECT step, threshold, tp, fp, fn, tn, round(cost, 6) AS cost, round(f1, 6) AS f1 FROM costed",
@@ -157,6 +157,42 @@ PARTS["triangle"] = "SELECT x.candidate_id, x.card_a AS a, x.card_b AS b, y.card
 PARTS["closed"] = "SELECT candidate_id, u, count(*) AS t FROM (SELECT candidate_id, unnest([a, b, c]) AS u FROM triangle) GROUP BY ALL"
 PARTS["local_c"] = "SELECT candidate_id, u, CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END AS c FROM inner_degree LEFT JOIN closed USING (candidate_id, u)"
 
+PARTS["set_card"] = "SELECT candidate_id, card_id, n FROM ego_card UNION ALL SELECT 'cc:' || CAST(floor AS VARCHAR) || ':' || component, card_id, count(*) OVER (PARTITION BY floor, component) FROM part"
+PARTS["set_pair"] = QUERIES["jaccard_pairs"]
+PARTS["set_rank"] = "SELECT candidate_id, row_number() OVER (ORDER BY CASE WHEN candidate_id LIKE 'ego:%' THEN 0 ELSE 1 END, max(n) DESC, candidate_id) AS no FROM set_card WHERE n BETWEEN 2 AND 60 GROUP BY candidate_id"
+PARTS["rival"] = "SELECT greatest(x.no, y.no) AS later, list(least(x.no, y.no) ORDER BY least(x.no, y.no)) AS ahead FROM set_pair p JOIN set_rank x ON x.candidate_id = p.candidate_a JOIN set_rank y ON y.candidate_id = p.candidate_b GROUP BY 1"
+PARTS["greedy"] = "SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT g.i + 1, CASE WHEN r.ahead IS NOT NULL AND list_has_any(g.kept, r.ahead) THEN g.kept ELSE list_append(g.kept, g.i + 1) END FROM greedy g LEFT JOIN rival r ON r.later = g.i + 1 WHERE g.i < (SELECT count(*) FROM set_rank)"
+PARTS["chosen"] = "SELECT kept FROM greedy ORDER BY i DESC LIMIT 1"
+PARTS["entry"] = "SELECT vec_id, unnest(range(0, len(v))) AS pos, unnest(list_transform(v, lambda x: sign(x) * ln(1 + abs(x)))) AS x FROM vec"
+PARTS["entry_scale"] = "SELECT pos, avg(x) AS mean, CASE WHEN stddev_pop(x) > 1e-9 THEN stddev_pop(x) ELSE 1 END AS std FROM entry GROUP BY pos"
+PARTS["entry_z"] = "SELECT vec_id, pos, (x - mean) / std AS z FROM entry JOIN entry_scale USING (pos)"
+PARTS["cosine_step"] = "SELECT CAST(floor(round(list_cosine_similarity(q.v, c.v), 9) * 500) AS BIGINT) AS step FROM vec q, vec c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id"
+PARTS["named_event"] = "SELECT kind, id, timestamp, amount FROM (SELECT 'card_id' AS kind, card_id AS id, timestamp, amount FROM txn UNION ALL SELECT 'device_fingerprint', device_fingerprint, timestamp, amount FROM txn UNION ALL SELECT 'ip_address', ip_address, timestamp, amount FROM txn UNION ALL SELECT 'email_hash', email_hash, timestamp, amount FROM txn) WHERE id IS NOT NULL AND timestamp IS NOT NULL"
+PARTS["sourced"] = "SELECT candidate_id, card_id, source FROM member JOIN (SELECT candidate_id, min(source) AS source FROM candidates GROUP BY candidate_id) USING (candidate_id)"
+QUERIES |= {
+    "dedup_plain": "SELECT candidate_id, list_contains(kept, no) AS kept, CASE WHEN NOT list_contains(kept, no) THEN (SELECT y.candidate_id FROM set_rank y WHERE y.no = list_filter(ahead, lambda a: list_contains(kept, a))[1]) END AS merged_into FROM set_rank LEFT JOIN rival ON later = no, chosen",
+    "vertices": "SELECT card_id, coalesce(any_value(world_id), -1)::BIGINT AS world_id, count(*) AS n_transactions, coalesce(any_value(degree), 0) AS degree FROM txn LEFT JOIN card_world USING (card_id) LEFT JOIN degree USING (card_id) WHERE card_id IS NOT NULL GROUP BY card_id",
+    "missed_sets": "SELECT DISTINCT ref_id FROM ref WHERE ref_id NOT IN (SELECT ref_id FROM overlap WHERE c * 2 > size)",
+    "size_distribution": "SELECT source, n_cards, count(*) AS n FROM (SELECT candidate_id, source, count(*) AS n_cards FROM sourced GROUP BY ALL) GROUP BY ALL",
+    "slice_merchants": """SELECT candidate_id, coalesce(string_agg(DISTINCT merchant_id, ',' ORDER BY merchant_id) FILTER (kind = 'probe'), '') AS probe_merchants, coalesce(string_agg(DISTINCT merchant_id, ',' ORDER BY merchant_id) FILTER (kind = 'cashout'), '') AS cashout_merchants FROM (
+      SELECT candidate_id, merchant_id, CASE WHEN no <= 20 THEN kind END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id, kind ORDER BY card_id, ts, transaction_id) AS no FROM (SELECT *, CASE WHEN amount < 10 THEN 'probe' WHEN amount > 10000 THEN 'cashout' END AS kind FROM slice1))) GROUP BY candidate_id""",
+    "prior_shift": "SELECT n AS rows, round(one * n, 6) AS cost, round(one * 1000, 6) AS per_1k FROM (SELECT count(*) AS n, 0.98::DOUBLE * count(*) FILTER (y <> 1 AND p >= 0.5) / count(*) FILTER (y <> 1) * 230000.0 + 0.02::DOUBLE * count(*) FILTER (y = 1 AND p < 0.5) / count(*) FILTER (y = 1) * 850000.0 AS one FROM pred)",
+    "top_false_positive": "SELECT vec_id, p FROM (SELECT vec_id, CAST(label % 2 AS INT) AS y, round(0.5 + 0.45 * CAST(embedding[label % 8 + 1] AS DOUBLE), 3) AS p FROM embeddings WHERE label IS NOT NULL) WHERE y = 0 ORDER BY p DESC, vec_id LIMIT 1",
+    "signatures": "SELECT vec_id, round(max(z / size) FILTER (pos = 0), 6) AS first, round(sum(z / size), 6) AS total FROM entry_z JOIN (SELECT vec_id, sqrt(sum(z * z)) AS size FROM entry_z GROUP BY vec_id) USING (vec_id) GROUP BY vec_id",
+    "similarity_summary": "SELECT count(*) AS pairs, round(quantile_disc(step, 0.5) / 500, 6) AS p50, round(quantile_disc(step, 0.95) / 500, 6) AS p95, round(avg(CASE WHEN step >= 150 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_near FROM cosine_step",
+    "dossier_corpus": f"SELECT count(*) AS dossiers, sum(claims)::BIGINT AS claims, 0::BIGINT AS uncited, round(avg(refs_per_claim), 6) AS refs_per_claim FROM ({QUERIES['dossier_quality']})",
+    "hourly_velocity": "SELECT start_s, kind, id, count(*) AS n, round(sum(amount), 6) AS total FROM (SELECT (floor(epoch_us(timestamp) / 300000000)::BIGINT - k) * 300 AS start_s, kind, id, amount FROM named_event, range(0, 12) r(k)) GROUP BY ALL",
+    "daily_escalation": "SELECT start_s, kind, id, count(*) AS n, round(coalesce(max(amount) / nullif(min(amount), 0), 1), 6) AS escalation FROM (SELECT (floor(epoch_us(timestamp) / 3600000000)::BIGINT - k) * 3600 AS start_s, kind, id, amount FROM named_event, range(0, 24) r(k)) GROUP BY ALL",
+    "gbt_folds": f"SELECT world_id AS fold, count(*) AS n, sum(is_match)::BIGINT AS positives FROM ({QUERIES['candidate_world']}) JOIN ({QUERIES['candidate_labels']}) USING (candidate_id) GROUP BY world_id",
+}
+_STRUCT = ["cand_size", "cand_density", "cand_avg_degree", "cand_clustering_coeff", "cand_expansion", "cand_cut_ratio", "cand_modularity_contribution"]
+_IDENT = ["n_unique_devices", "n_unique_ips", "n_unique_emails", "max_device_reuse", "max_ip_reuse", "max_email_reuse", "device_to_card_ratio", "ip_to_card_ratio", "cand_ego_overlap_ratio"]
+QUERIES["features"] = f"""SELECT c.candidate_id, {", ".join(f"coalesce(nullif(round(CASE WHEN k.candidate_id IS NULL THEN 0 ELSE CAST({x} AS DOUBLE) END, 5), 0), 0) AS {y}" for x, y in [*((x, x) for x in [*_STRUCT, *_IDENT, *_BEHAVE, "amount_entropy"]), ("h.n_components", "cand_num_components"), ("h.diameter", "cand_diameter")])}
+    FROM csize c LEFT JOIN (SELECT DISTINCT candidate_id FROM crow) k USING (candidate_id) LEFT JOIN ({QUERIES["structural_features"]}) s USING (candidate_id) LEFT JOIN ({QUERIES["hop_shape"]}) h USING (candidate_id)
+    LEFT JOIN ({QUERIES["identity_features"].replace(", 6)", ", 12)")}) i USING (candidate_id) LEFT JOIN ({QUERIES["behavioural_features"]}) b USING (candidate_id) LEFT JOIN ({QUERIES["amount_entropy"].replace("FROM crow", "FROM slice3")}) e USING (candidate_id)"""
+#: Parts a recursion reads in every step.
+_KEPT = {"rival", "set_rank"}
+
 
 def _needed(sql: str, seen: list[str], above: tuple[str, ...] = ()) -> list[str]:
     """Names of the parts that sql reads, each after what it reads itself; a part's own name in it is no need."""
@@ -172,7 +208,7 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for key, body in QUERIES.items():
         parts = _needed(body, [])
-        ctes = [f"{p} AS ({PARTS[p]})" for p in parts]
+        ctes = [f"{p} AS {'MATERIALIZED ' if p in _KEPT else ''}({PARTS[p]})" for p in parts]
         if any(re.search(r"\btxn\b", x) for x in [body, *ctes]):
             ctes.insert(0, sql_txn())
         out[key] = ("WITH RECURSIVE " + ",\n    ".join(ctes) + "\n    " if ctes else "") + body

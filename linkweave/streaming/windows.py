@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from linkweave.operators.identity import ATTRIBUTES
+
 
 def source(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", per_trigger: int = 100) -> DataFrame:
     """A folder that files arrive in."""
@@ -23,6 +25,31 @@ def rolling(events: DataFrame, key: str, time: str, value: str, length: str = "5
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "total", "most")
 
 
+def by_identity(events: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
+    """(kind, id, event columns): each event once for its card and once for each identity value it has, so that windows are kept per card and per value in one stream."""
+    ids = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("id")) for k in ("card_id", *attributes)])
+    return events.withColumn("e", F.explode(ids)).where("e.id IS NOT NULL").select("e.kind", "e.id", *events.columns)
+
+
+def velocity(events: DataFrame, time: str = "timestamp", value: str = "amount", length: str = "1 hour", slide: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """(start, end, kind, id, n, total) per sliding hour, card and identity value."""
+    return _windowed(events, time, value, length, slide, late).drop("least", "most")
+
+
+def escalation(events: DataFrame, time: str = "timestamp", value: str = "amount", length: str = "24 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """(start, end, kind, id, n, least, most, escalation) per sliding day, card and identity value: largest over smallest amount, 1 without amounts or where the smallest is 0."""
+    w = _windowed(events, time, value, length, slide, late)
+    return w.select("start", "end", "kind", "id", "n", "least", "most", F.coalesce(F.col("most") / F.nullif("least", F.lit(0.0)), F.lit(1.0)).alias("escalation"))
+
+
+def _windowed(events: DataFrame, time: str, value: str, length: str, slide: str, late: str) -> DataFrame:
+    t = by_identity(events.where(F.col(time).isNotNull()).withColumn("at", F.col(time).cast("timestamp")))
+    if t.isStreaming:
+        t = t.withWatermark("at", late)
+    g = t.groupBy(F.window("at", length, slide).alias("w"), "kind", "id").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "kind", "id", "n", "total", "least", "most")
+
+
 def sessions(events: DataFrame, key: str, time: str, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """(start, end, key, n) with Spark's session window; end is the last event plus the gap."""
     t = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).withColumn("at", F.col(time).cast("timestamp"))

@@ -3,7 +3,7 @@ import re
 
 import __spark_entry__ as entry
 
-SQL_FREE = {"dedup_kept", "louvain", "features", "templates", "gbt_oof", "ablation", "synthetic_roles", "p5_found", "p5_splits", "p6_classes", "p7_surprise", "p8_ids", "p9_leaks", "p10_found", "p10_shares"}
+SQL_FREE = {"dedup_kept", "survivors", "louvain", "templates", "gbt_oof", "train", "ablation", "synthetic_roles", "p5_splits", "p7_surprise", "p8_ids", "p9_leaks", "p10_found", "p10_shares"}
 
 
 def test_every_query_has_sql_or_a_reason():

@@ -279,3 +279,127 @@ def test_model_folds_never_share_a_world(spark, tmp_path):
     assert threshold == 0.3 and p(m) == p(again)
     assert model.fit(df.where("y = 1"), ["a", "b"]) is None and set(p(None)) == {0.0}
     assert {r["feature"] for r in model.importance(m, ["a", "b"], spark).collect()} == {"a", "b"}
+
+
+@pytest.fixture
+def all_skewed(spark):
+    """Every partition is taken as skewed and split."""
+    conf = {f"spark.sql.adaptive.skewJoin.{k}": v for k, v in (("skewedPartitionThresholdInBytes", "1b"), ("skewedPartitionFactor", "0.01"))} | {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k in conf:
+        spark.conf.unset(k)
+
+
+def test_a_hub_with_most_edges(spark, all_skewed):
+    edges = [(0, "z9", f"a{i:04d}") for i in range(1500)] + [(0, f"a{i:04d}", f"a{i + 1:04d}") for i in range(0, 300, 2)] + [(1, "p", "q"), (1, "q", "r")]
+    got = {(r["g"], r["vertex"]): r["component"] for r in graph.components(spark.createDataFrame(edges, "g int, a string, b string")).collect()}
+    assert got == {(0, "z9"): "a0000"} | {(0, f"a{i:04d}"): "a0000" for i in range(1500)} | {(1, x): "p" for x in "pqr"}
+
+
+def test_overlapping_sets_with_a_common_card(spark, all_skewed):
+    rnd = random.Random(12)
+    sets = [(f"s{i:04d}", sorted({"hot"} | {f"c{rnd.randrange(400):03d}" for _ in range(rnd.randrange(1, 7))})) for i in range(400)]
+    df = spark.createDataFrame([(i, "ego", s) for i, s in sets], "candidate_id string, source string, cards array<string>").selectExpr("*", "1 as n", "'x' as a")
+    got = {(r["a"], r["b"]): r["jaccard"] for r in C.overlapping(df).collect()}
+    want = {(i, j): len(set(s) & set(t)) / len(set(s) | set(t)) for (i, s), (j, t) in itertools.combinations(sets, 2)}
+    assert got == {k: v for k, v in want.items() if v > 0.5} and got
+
+
+def test_survivors_list_what_was_merged(spark):
+    df = spark.createDataFrame([("e1", "ego", ["a", "b", "c"]), ("e2", "ego", ["a", "b", "c", "d"]), ("c1", "cc", ["a", "b", "c", "d"]), ("c2", "cc", ["x", "y"])], "candidate_id string, source string, cards array<string>")
+    got = {r["candidate_id"]: r["merged_from"] for r in C.survivors(df, C.deduplicate(df)).collect()}
+    assert got == {"e2": ["c1", "e1"], "c2": []}
+
+
+@pytest.mark.parametrize("largest", [10_000, 0])
+def test_communities_of_small_and_of_spread_components(spark, largest):
+    e = [(f"C{k:02d}{a}", f"C{k:02d}{b}", 1.0) for k in range(8) for a, b in itertools.combinations(range(5), 2)] + [(f"C{k:02d}4", f"C{k + 1:02d}0", 1.0) for k in range(7)] + [("x", "y", 0.5)]
+    df = spark.createDataFrame(e, "a string, b string, weight double")
+    labels = {}
+    for r in graph.communities(df, [1.0], largest=largest).collect():
+        labels.setdefault(r["community"], set()).add(r["vertex"])
+    assert sorted(map(sorted, labels.values())) == [[f"C{k:02d}{i}" for i in range(5)] for k in range(8)] + [["x", "y"]]
+    assert graph.communities(df.limit(0), [1.0], largest=largest).count() == 0
+
+
+def test_burst_across_stretches(spark):
+    rnd = random.Random(13)
+    rows = [("A", rnd.randrange(3000)) for _ in range(200)] + [("B", 299), ("B", 599), ("B", 600), ("B", None), ("C", -5), ("C", 295)]
+    got = {r["candidate_id"]: (r["densest"], r["n"]) for r in features.burst(spark.createDataFrame(rows, "candidate_id string, ts bigint")).collect()}
+    for k in "ABC":
+        t = [x for i, x in rows if i == k and x is not None]
+        assert got[k] == (max(sum(a <= b <= a + 300 for b in t) for a in t), len(t))
+
+
+def test_prior_shift_and_exhibits(spark):
+    pred = spark.createDataFrame([("a", 1, 0.9), ("b", 1, 0.2), ("c", 0, 0.8), ("d", 0, 0.8), ("e", 0, 0.1), ("f", 0, 0.1)], "k string, y int, p double")
+    r = evaluation.prior_shift(evaluation.confusion(pred, 0.5, 100.0, 10.0), 0.1, 100.0, 10.0).first()
+    assert r["rows"] == 6 and r["per_1k"] == pytest.approx(1000 * (0.9 * 0.5 * 10 + 0.1 * 0.5 * 100))
+    assert [x["k"] for x in evaluation.top_false_positives(pred, "k").collect()] == ["c"]
+
+
+def test_training_in_one_step(spark, tmp_path):
+    rnd = random.Random(14)
+    rows = [(f"k{i:03d}", i % 3, int(i % 4 == 0), rnd.random() + (i % 4 == 0), rnd.random()) for i in range(120)]
+    df = spark.createDataFrame(rows, "candidate_id string, fold int, y int, good double, noise double").cache()
+    t = model.train(df, ["good", "noise"], 10.0, 1.0, incidence=0.05, trees=3, depth=2)
+    assert t.oof.count() == 120 and t.measures["folds"] == 3 and t.measures["positives"] == 30
+    assert t.measures["average_precision"] > 0.8 and t.measures["per_1k"] >= 0 and 0 < t.threshold < 1
+    fam = {r["family"]: r["total"] for r in model.importance_by_family(t.importance, {"g": ["good"], "n": ["noise"]}).collect()}
+    assert fam["g"] > fam["n"] and sum(fam.values()) == pytest.approx(1)
+    model.save(t.model, str(tmp_path / "m"), t.columns, t.threshold, t.scale, {"rows": 120})
+    assert model.load(spark, str(tmp_path / "m"))[1:] == (["good", "noise"], t.threshold)
+    assert memory.fingerprint(model.load_scaler(spark, str(tmp_path / "m"))) == memory.fingerprint(t.scale) and model.load_provenance(spark, str(tmp_path / "m")) == {"rows": 120}
+    one = model.train(df.where("y = 0"), ["good"], 10.0, 1.0, trees=2, depth=2)
+    assert one.model is None and one.importance is None and one.oof.agg(F.max("p")).first()[0] == 0
+
+
+def test_case_memory_keeps_an_audit(spark):
+    scale = spark.createDataFrame([(0, 0.5, 1.0), (1, 0.0, 2.0)], "pos int, mean double, std double")
+    mark = memory.fingerprint(scale)
+    kind = "case_id string, disposition string, at_us bigint, signature array<double>, scaler string"
+    old = spark.createDataFrame([("a", "FRAUD", 5, [1.0, 0.0], mark)], kind)
+    new = spark.createDataFrame([("a", "FALSE_POSITIVE", 3, [1.0, 0.0], mark), ("b", "FRAUD", 9, [0.0, 1.0], mark)], kind)
+    cases, audit = memory.store(old, old.select("case_id", "disposition", "at_us"), new, scale)
+    assert {r["case_id"]: r["disposition"] for r in cases.collect()} == {"a": "FRAUD", "b": "FRAUD"} and audit.count() == 3
+    counts = {r["what"]: r["n"] for r in memory.memory_counts(cases, cases.limit(0), audit).collect()}
+    assert counts == {"case:FRAUD": 2, "templates": 0, "audit": 3}
+    with pytest.raises(ValueError):
+        memory.store(old, audit, new.withColumn("scaler", F.lit("other")), scale)
+
+
+def test_windows_per_card_and_value(spark, tmp_path):
+    rows = [("c1", "d1", None, None, "2026-01-01 10:00:00", 5.0), ("c2", "d1", None, "e", "2026-01-01 10:30:00", 500.0), ("c1", None, None, None, "2026-01-01 12:00:00", None), ("c1", "d1", None, None, None, 1.0)]
+    df = spark.createDataFrame(rows, "card_id string, device_fingerprint string, ip_address string, email_hash string, t string, amount double").selectExpr("card_id", "device_fingerprint", "ip_address", "email_hash", "cast(t as timestamp) as timestamp", "amount")
+    v = {(r["kind"], r["id"]): r["m"] for r in windows.velocity(df).groupBy("kind", "id").agg(F.max("n").alias("m")).collect()}
+    assert v == {("card_id", "c1"): 1, ("card_id", "c2"): 1, ("device_fingerprint", "d1"): 2, ("email_hash", "e"): 1}
+    e = {(r["kind"], r["id"]): r["m"] for r in windows.escalation(df).groupBy("kind", "id").agg(F.max("escalation").alias("m")).collect()}
+    assert e["device_fingerprint", "d1"] == 100.0 and e["card_id", "c1"] == 1.0
+    df.write.parquet(str(tmp_path / "in"))
+    stream = windows.velocity(windows.source(spark, str(tmp_path / "in"), df.schema))
+    q = stream.writeStream.format("memory").queryName("velocity_rows").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = {(r["start"], r["kind"], r["id"], r["n"], r["total"]) for r in windows.velocity(df).collect()}
+    assert {(r["start"], r["kind"], r["id"], r["n"], r["total"]) for r in spark.table("velocity_rows").collect()} == want
+
+
+def test_uncited_claims_are_named(spark):
+    e = spark.createDataFrame([("k", "one", "edge:x", 1), ("k", "two", " ", 1), ("k", "three", None, 1)], "candidate_id string, claim string, citation_id string, supports int")
+    with pytest.raises(Exception, match="three, two"):
+        dossier.reject_uncited(e).collect()
+    good = e.where("claim = 'one'")
+    assert [tuple(r) for r in dossier.by_kind(good).collect()] == [("edge", 1, 1)]
+    assert tuple(dossier.corpus_quality(dossier.quality(dossier.reject_uncited(good))).first()) == (1, 1, 0, 2.0)
+    text = dossier.elevation(spark.createDataFrame([("k", 0.5, 0.25, None, 0.7)], "candidate_id string, upstream double, own double, plain double, composite double")).first()["text"]
+    assert text == "Upstream score 0.50, own score 0.25: together 0.00 without and 0.70 with case memory."
+
+
+def test_a_merchant_without_amounts_moves_no_bin(spark):
+    rows = [("K", "m1", a, 1000 * i) for i, a in enumerate([10.0, 20.0, 40.0, 80.0])] + [("K", "m2", None, 5)]
+    df = spark.createDataFrame(rows, "candidate_id string, merchant_id string, amount double, ts bigint").selectExpr("*", "timestamp_seconds(ts) as timestamp", "'1.2.3.4' as ip_address")
+    small = spark.createDataFrame([("m1", True)], "merchant_id string, small boolean")
+    r = features.behavioural_features(df, small).first()
+    assert r["amount_entropy"] == pytest.approx(features.entropy(df).first()["amount_entropy"]) == 2.0
+    assert r["merchant_diversity"] == 0.4 and r["small_merchant_concentration"] == 0.8 and r["geo_spread"] == 0.2
