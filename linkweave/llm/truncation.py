@@ -71,7 +71,7 @@ def _places(scan: Scan) -> np.ndarray:
 
 
 def _kinds(scan: Scan, place: np.ndarray) -> np.ndarray:
-    """What follows each word: t terminal mark, w another word, perhaps joined, c other punctuation, n the line's end, e the text's end."""
+    """What follows each word, as its place in "twcne": terminal mark, another word (perhaps joined), other punctuation, the line's end, the text's end."""
     breaks = np.flatnonzero(scan.codes == 10)
     stop = breaks[np.searchsorted(breaks, scan.end)]
     after = np.r_[scan.start[1:], len(scan.codes)]
@@ -82,15 +82,15 @@ def _kinds(scan: Scan, place: np.ndarray) -> np.ndarray:
     place_kind = np.where(last, np.where(ends_text, 2, 1), 0).astype(np.uint64)
     key = fold(scan.hashes(scan.end, stop), place_kind)
     _, first, back = np.unique(key, return_index=True, return_inverse=True)
-    kinds = np.empty(len(first), "U1")
+    kinds = np.empty(len(first), np.uint8)
     for k, i in enumerate(first.tolist()):
         gap = scan.string(scan.end[i], stop[i])
         if not last[i]:
-            kinds[k] = "w" if _JOINT.fullmatch(gap) else "t" if _TERMINAL.match(gap) else "c" if gap.strip() else "w"
+            kinds[k] = 1 if _JOINT.fullmatch(gap) else 0 if _TERMINAL.match(gap) else 2 if gap.strip() else 1
         elif _TERMINAL.match(gap) and not (ends_text[i] and _dots(gap.strip())):
-            kinds[k] = "t"
+            kinds[k] = 0
         else:
-            kinds[k] = "e" if ends_text[i] else "n"
+            kinds[k] = 4 if ends_text[i] else 3
     return kinds[back]
 
 
@@ -112,10 +112,8 @@ def _seen(scan: Scan, low: np.ndarray, high: np.ndarray, asked: Callable[[np.nda
     place = _places(scan)
     kinds = _kinds(scan, place)
     inside = scan.start - scan.offset[scan.text]
-    counted = (kinds != "e") & (inside >= low[scan.text]) & (inside < high[scan.text])
-    column = np.zeros(len(words), np.uint64)
-    for no, k in enumerate("twcn"):
-        column[kinds == k] = no
+    counted = (kinds != 4) & (inside >= low[scan.text]) & (inside < high[scan.text])
+    column = kinds.astype(np.uint64)
     before = _before(words, place)
     keys = []
     for order, b in enumerate(before, 1):
