@@ -3,58 +3,89 @@
 from __future__ import annotations
 
 import json
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.operators import evaluation
+from linkweave.operators.boosting import Boosted, boost
 from linkweave.plans.durable import Scratch
 
-#: Folds fitted at the same time; each is a chain of short jobs.
-AT_ONCE = 6
+#: Labelled rows a model is fitted on at most; of more, a sample by hash. All rows are scored.
+MOST_ROWS = 200_000
 
 
-def assemble(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows with a features vector; missing values are 0."""
-    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows.fillna(0.0, list(columns)))
+def labelled(rows: DataFrame, columns: list[str], *others: str, most: int = MOST_ROWS) -> pd.DataFrame:
+    """At most about `most` rows of (others, y, columns) at the driver, all of them if there are no more; missing values are 0."""
+    n = rows.count()
+    some = rows if n <= most else rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < int((1 << 30) * (most / n)))
+    return some.select(*others, "y", *columns).fillna(0.0, list(columns)).toPandas()
 
 
-def fit(rows: DataFrame, columns: list[str], trees: int = 20, depth: int = 4, seed: int = 42) -> GBTClassificationModel | None:
+def _fitted(pdf: pd.DataFrame, columns: list[str], trees: int, depth: int, seed: int) -> Boosted | None:
+    # in an order of their own, so that a model doesn't depend on how rows arrive
+    pdf = pdf.sort_values([*columns, "y"], kind="stable")
+    return boost(pdf[list(columns)].to_numpy(float), pdf["y"].to_numpy(), trees, depth, seed)
+
+
+def fit(rows: DataFrame, columns: list[str], trees: int = 20, depth: int = 4, seed: int = 42, most: int = MOST_ROWS) -> Boosted | None:
     """Trees on (y, columns) with positives weighted to balance; None if one class is missing."""
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts.get(0) or not counts.get(1):
-        return None
-    weighted = assemble(rows, columns).withColumn("w", F.when(F.col("y") == 1, F.lit(counts[0] / counts[1])).otherwise(1.0))
-    return GBTClassifier(labelCol="y", featuresCol="features", weightCol="w", maxIter=trees, maxDepth=depth, stepSize=0.1, minInstancesPerNode=5, subsamplingRate=0.9, featureSubsetStrategy="0.8", seed=seed).fit(weighted)
+    return _fitted(labelled(rows, columns, most=most), columns, trees, depth, seed)
+
 
+def _values(columns: list[str]):
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
 
-def predict(model: GBTClassificationModel | None, rows: DataFrame, columns: list[str]) -> DataFrame:
+
+def predict(model: Boosted | None, rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows with p; without a model p is 0."""
     if model is None:
         return rows.withColumn("p", F.lit(0.0))
-    scored = model.transform(assemble(rows, columns)).withColumn("p", vector_to_array("probability")[1])
-    return scored.drop("features", "rawPrediction", "probability", "prediction")
 
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(model.predict(np.stack(x.to_list()))) if len(x) else pd.Series([], dtype=float)
+
+    return rows.withColumn("p", score(_values(columns)))
 
-def cross_validate(rows: DataFrame, columns: list[str], fold: str = "fold", **options) -> DataFrame:
-    """Out-of-fold predictions: each fold is scored by a model of the others; where those lack a class p is 0."""
-    scratch = Scratch(rows.sparkSession)
 
-    def one(no, value):
-        held = F.col(fold) == value
-        return scratch.write(predict(fit(rows.where(~held), columns, **options), rows.where(held), columns), f"fold{no}")
+def cross_validate(rows: DataFrame, columns: list[str], fold: str = "fold", trees: int = 20, depth: int = 4, seed: int = 42, most: int = MOST_ROWS) -> DataFrame:
+    """Out-of-fold predictions: each fold is scored by a model of the others; where those lack a class p is 0.
 
-    values = [r[fold] for r in rows.select(fold).distinct().orderBy(fold).collect()]
-    if not values:
+    Every fold is one task, fitted on the same at most `most` labelled rows less
+    its own; the models, a few kilobytes each, then score all rows in one pass.
+    """
+    spark = rows.sparkSession
+    folds = [r[fold] for r in rows.select(fold).distinct().orderBy(fold).collect()]
+    if not folds:
         return rows.withColumn("p", F.lit(0.0))
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        parts = list(pool.map(one, range(len(values)), values))
-    return rows.sparkSession.read.schema(parts[0].schema).parquet(*[x._scratch_path for x in parts])
+    named = spark.createDataFrame([(v, i) for i, v in enumerate(folds)], f"__fold {rows.schema[fold].dataType.simpleString()}, __no int")
+    numbered = rows.join(F.broadcast(named), F.col(fold).eqNullSafe(F.col("__fold"))).drop("__fold")  # one row a fold
+    data = spark.sparkContext.broadcast(labelled(numbered, columns, "__no", most=most))  # at most `most` rows
+
+    def one(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for no in part["__no"].tolist():
+                made = _fitted(data.value[data.value["__no"] != no], columns, trees, depth, seed)
+                yield pd.DataFrame({"__no": [no], "model": [made.dumps() if made else None]})
+
+    texts = named.select("__no").repartition(min(len(folds), spark.sparkContext.defaultParallelism)).mapInPandas(one, "__no int, model string").collect()
+    models = {r["__no"]: Boosted.loads(r["model"]) for r in texts if r["model"]}
+
+    @F.pandas_udf("double")
+    def score(no: pd.Series, x: pd.Series) -> pd.Series:
+        out = np.zeros(len(no))
+        for k in no.unique():
+            mine = (no == k).to_numpy()
+            if k in models:
+                out[mine] = models[k].predict(np.stack(x[mine].to_list()))
+        return pd.Series(out)
+
+    return Scratch(spark).write(numbered.withColumn("p", score("__no", _values(columns))).drop("__no"), "oof")
 
 
 def ablation(rows: DataFrame, families: dict[str, list[str]], fold: str = "fold", **options) -> DataFrame:
@@ -79,8 +110,8 @@ def ablation_deltas(scores: DataFrame, families: dict[str, list[str]], fn_cost:
     return out.crossJoin(F.broadcast(base)).select("without", "n_features", "average_precision", "cost", (F.col("average_precision") - F.col("ap")).alias("precision_delta"), (F.col("cost") - F.col("c")).alias("cost_delta"))  # base is one row
 
 
-def importance(model: GBTClassificationModel, columns: list[str], spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())], "feature string, importance double")
+def importance(model: Boosted, columns: list[str], spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.importance)], "feature string, importance double")
 
 
 def importance_by_family(important: DataFrame, families: dict[str, list[str]]) -> DataFrame:
@@ -96,7 +127,7 @@ class Trained:
     oof: DataFrame
     threshold: float
     measures: dict
-    model: GBTClassificationModel | None
+    model: Boosted | None
     columns: list[str]
     importance: DataFrame | None
     scale: DataFrame
@@ -126,18 +157,18 @@ def train(rows: DataFrame, columns: list[str], fn_cost: float, fp_cost: float, f
     return Trained(oof, best["cost_threshold"], measures, whole, list(columns), importance(whole, columns, rows.sparkSession) if whole else None, scale)
 
 
-def save(model: GBTClassificationModel, path: str, columns: list[str], threshold: float, scale: DataFrame | None = None, provenance: dict | None = None) -> None:
+def save(model: Boosted, path: str, columns: list[str], threshold: float, scale: DataFrame | None = None, provenance: dict | None = None) -> None:
     """The model and, beside it, its columns, threshold and provenance, and the scaler."""
-    model.write().overwrite().save(f"{path}/model")
     spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(model.dumps(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
     spark.createDataFrame([(json.dumps({"columns": list(columns), "threshold": threshold, "provenance": provenance or {}}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     if scale is not None:
         scale.coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")  # one row a column
 
 
-def load(spark: SparkSession, path: str) -> tuple[GBTClassificationModel, list[str], float]:
+def load(spark: SparkSession, path: str) -> tuple[Boosted, list[str], float]:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    return GBTClassificationModel.load(f"{path}/model"), meta["columns"], meta["threshold"]
+    return Boosted.loads(spark.read.text(f"{path}/model").first()[0]), meta["columns"], meta["threshold"]
 
 
 def load_scaler(spark: SparkSession, path: str) -> DataFrame:

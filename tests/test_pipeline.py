@@ -403,3 +403,17 @@ def test_a_merchant_without_amounts_moves_no_bin(spark):
     r = features.behavioural_features(df, small).first()
     assert r["amount_entropy"] == pytest.approx(features.entropy(df).first()["amount_entropy"]) == 2.0
     assert r["merchant_diversity"] == 0.4 and r["small_merchant_concentration"] == 0.8 and r["geo_spread"] == 0.2
+
+
+def test_boosting_learns_a_crossed_rule_and_survives_its_text():
+    import numpy as np
+
+    from linkweave.operators.boosting import Boosted, boost
+
+    rng = np.random.default_rng(2)
+    x = np.c_[rng.random((600, 2)), np.zeros(600), rng.integers(0, 2, 600)]
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(int)
+    m = boost(x[:400], y[:400], trees=40)
+    assert ((m.predict(x[400:]) > 0.5) == y[400:]).mean() > 0.93 and m.importance[:2].sum() > 0.9 and m.importance[2] == 0
+    again = Boosted.loads(m.dumps())
+    assert (again.predict(x) == m.predict(x)).all() and boost(x, np.ones(600)) is None and len(m.predict(x[:0])) == 0
