@@ -7,6 +7,8 @@ columnar and compressed, with footers that answer counts.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _local_root:
-        _local_root[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="linkweave-")
+        made = tempfile.mkdtemp(prefix="linkweave-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _local_root[sc.applicationId] = "file://" + made
     return _local_root[sc.applicationId]
 
 
