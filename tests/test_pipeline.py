@@ -417,3 +417,19 @@ def test_boosting_learns_a_crossed_rule_and_survives_its_text():
     assert ((m.predict(x[400:]) > 0.5) == y[400:]).mean() > 0.93 and m.importance[:2].sum() > 0.9 and m.importance[2] == 0
     again = Boosted.loads(m.dumps())
     assert (again.predict(x) == m.predict(x)).all() and boost(x, np.ones(600)) is None and len(m.predict(x[:0])) == 0
+
+
+def test_universe_has_households_pools_and_whole_rings(spark):
+    u = synthetic.universe(spark, cards=200, merchants=30, txns=6000, rings=12)
+    cards, txn = u["cards"].cache(), u["transactions"].cache()
+    homes = {r["home_ip"]: r["n"] for r in cards.groupBy("home_ip").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(homes.values()) == {1, 3} and sum(n == 3 for n in homes.values()) == 14
+    pooled = txn.where("ip_address LIKE '172.16.%'")
+    assert 0.05 < pooled.count() / 6000 < 0.15 and pooled.select("ip_address").distinct().count() == 8 and pooled.where("is_ring_txn").count() == 0
+    users = txn.where("device_fingerprint = 'DEV_000000001'").select("card_id").distinct()
+    assert users.count() > 50 and users.join(cards.where("NOT uses_generic_device"), "card_id").count() == 0
+    d = synthetic.device_cardinality(txn).first()
+    assert d["p50"] == 1.0 and d["most"] == users.count()
+    rings = files.ring_cards(u["rings"]).select("ring_id", "card_id")
+    assert synthetic.cross_world_rings(rings, cards).count() == 0
+    assert [tuple(r) for r in synthetic.cross_world_rings(rings, cards.withColumn("world_id", F.when(F.col("card_id") == "CARD_000000000", 99).otherwise(F.col("world_id")))).collect()] == [("RING_000000000", 2)]
