@@ -467,7 +467,7 @@ def ref_memory_adjustments(spark, d):
 
 def ref_templates(spark, d):
     v = _vectors(spark, d)
-    cases = v.select(F.lit(0).alias("kind"), F.col("vec_id").cast("string").alias("case_id"), F.col("vec_id").alias("confirmed_at"), F.col("v").alias("vector")).where("label = 0")
+    cases = v.where("label IS NOT NULL").select(F.col("label").alias("kind"), F.col("vec_id").cast("string").alias("case_id"), F.col("vec_id").alias("confirmed_at"), F.col("v").alias("vector"))
     return M.templates(cases, at_least=0.15)
 
 
