@@ -8,33 +8,55 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.operators import evaluation
-from linkweave.operators.boosting import Boosted, boost
+from linkweave.operators.boosting import Boosted, Rows
 from linkweave.plans.durable import Scratch
 
-#: Labelled rows a model is fitted on at most; of more, a sample by hash. All rows are scored.
-MOST_ROWS = 200_000
+#: Tasks that fit models, per task that the cluster runs at once.
+SHARES = 2
 
 
-def labelled(rows: DataFrame, columns: list[str], *others: str, most: int = MOST_ROWS) -> pd.DataFrame:
-    """At most about `most` rows of (others, y, columns) at the driver, all of them if there are no more; missing values are 0."""
-    n = rows.count()
-    some = rows if n <= most else rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < int((1 << 30) * (most / n)))
-    return some.select(*others, "y", *columns).fillna(0.0, list(columns)).toPandas()
+def _models(rows: DataFrame, sets: list[list[str]], folds: int, trees: int, depth: int, seed: int) -> dict[tuple[int, int], Boosted]:
+    """Models by (number of the set of columns, fold) of rows (__no, y, columns), each on all rows of the other folds; those that lack a class are left out.
 
-
-def _fitted(pdf: pd.DataFrame, columns: list[str], trees: int, depth: int, seed: int) -> Boosted | None:
-    # in an order of their own, so that a model doesn't depend on how rows arrive
-    pdf = pdf.sort_values([*columns, "y"], kind="stable")
-    return boost(pdf[list(columns)].to_numpy(float), pdf["y"].to_numpy(), trees, depth, seed)
-
-
-def fit(rows: DataFrame, columns: list[str], trees: int = 20, depth: int = 4, seed: int = 42, most: int = MOST_ROWS) -> Boosted | None:
+    A task reads all rows once, sorts them once, and fits the models of its
+    folds. The rows pass neither the driver nor an exchange; a worker holds
+    about 16 bytes a value of them.
+    """
+    spark = rows.sparkSession
+    columns = list(dict.fromkeys(c for x in sets for c in x))
+    data = Scratch(spark).write(rows.select(F.col("__no").cast("int").alias("__no"), (F.col("y") == 1).alias("y"), *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in columns]), "labelled")
+    places = [[columns.index(c) for c in x] for x in sets]
+    tasks = min(folds, SHARES * spark.sparkContext.defaultParallelism)
+
+    def fitted(mine: range):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got: list[list[np.ndarray]] = [[] for _ in range(len(columns) + 2)]
+            for batch in batches:
+                for part, column in zip(got, batch.columns):
+                    part.append(column.to_numpy(zero_copy_only=False).copy())
+            if not got[0]:
+                return
+            no, y = (np.concatenate(x) for x in got[:2])
+            table = Rows((np.concatenate(x) for x in got[2:]), y)
+            for k in mine:
+                made = table.boost(no != k, places, trees, depth, seed)
+                yield pa.RecordBatch.from_pydict({"s": pa.array(range(len(made)), pa.int32()), "no": pa.array([k] * len(made), pa.int32()), "model": pa.array([m.dumps() if m else None for m in made], pa.string())})
+
+        return run
+
+    # one union of plans that each read all rows in one task
+    parts = [data.coalesce(1).mapInArrow(fitted(range(i, folds, tasks)), "s int, no int, model string").rdd for i in range(tasks)]
+    return {(r["s"], r["no"]): Boosted.loads(r["model"]) for r in spark.sparkContext.union(parts).collect() if r["model"]}
+
+
+def fit(rows: DataFrame, columns: list[str], trees: int = 20, depth: int = 4, seed: int = 42) -> Boosted | None:
     """Trees on (y, columns) with positives weighted to balance; None if one class is missing."""
-    return _fitted(labelled(rows, columns, most=most), columns, trees, depth, seed)
+    return _models(rows.withColumn("__no", F.lit(-1)), [list(columns)], 1, trees, depth, seed).get((0, 0))
 
 
 def _values(columns: list[str]):
@@ -53,49 +75,49 @@ def predict(model: Boosted | None, rows: DataFrame, columns: list[str]) -> DataF
     return rows.withColumn("p", score(_values(columns)))
 
 
-def cross_validate(rows: DataFrame, columns: list[str], fold: str = "fold", trees: int = 20, depth: int = 4, seed: int = 42, most: int = MOST_ROWS) -> DataFrame:
-    """Out-of-fold predictions: each fold is scored by a model of the others; where those lack a class p is 0.
-
-    Every fold is one task, fitted on the same at most `most` labelled rows less
-    its own; the models, a few kilobytes each, then score all rows in one pass.
-    """
+def _scored(rows: DataFrame, sets: list[list[str]], fold: str, trees: int, depth: int, seed: int) -> DataFrame:
+    """rows with an array p: for each set of columns the prediction of a model of the other folds, 0 where those lack a class."""
     spark = rows.sparkSession
     folds = [r[fold] for r in rows.select(fold).distinct().orderBy(fold).collect()]
     if not folds:
-        return rows.withColumn("p", F.lit(0.0))
+        return rows.withColumn("p", F.array(*[F.lit(0.0)] * len(sets)))
     named = spark.createDataFrame([(v, i) for i, v in enumerate(folds)], f"__fold {rows.schema[fold].dataType.simpleString()}, __no int")
     numbered = rows.join(F.broadcast(named), F.col(fold).eqNullSafe(F.col("__fold"))).drop("__fold")  # one row a fold
-    data = spark.sparkContext.broadcast(labelled(numbered, columns, "__no", most=most))  # at most `most` rows
+    models = _models(numbered, sets, len(folds), trees, depth, seed)
+    columns = list(dict.fromkeys(c for x in sets for c in x))
+    places = [[columns.index(c) for c in x] for x in sets]
 
-    def one(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for no in part["__no"].tolist():
-                made = _fitted(data.value[data.value["__no"] != no], columns, trees, depth, seed)
-                yield pd.DataFrame({"__no": [no], "model": [made.dumps() if made else None]})
-
-    texts = named.select("__no").repartition(min(len(folds), spark.sparkContext.defaultParallelism)).mapInPandas(one, "__no int, model string").collect()
-    models = {r["__no"]: Boosted.loads(r["model"]) for r in texts if r["model"]}
-
-    @F.pandas_udf("double")
+    @F.pandas_udf("array<double>")
     def score(no: pd.Series, x: pd.Series) -> pd.Series:
-        out = np.zeros(len(no))
+        out = np.zeros((len(no), len(sets)))
         for k in no.unique():
             mine = (no == k).to_numpy()
-            if k in models:
-                out[mine] = models[k].predict(np.stack(x[mine].to_list()))
-        return pd.Series(out)
+            values = np.stack(x[mine].to_list())
+            for s, place in enumerate(places):
+                if (s, k) in models:
+                    out[mine, s] = models[s, k].predict(values[:, place])
+        return pd.Series(list(out))
 
-    return Scratch(spark).write(numbered.withColumn("p", score("__no", _values(columns))).drop("__no"), "oof")
+    return numbered.withColumn("p", score("__no", _values(columns))).drop("__no")
 
 
-def ablation(rows: DataFrame, families: dict[str, list[str]], fold: str = "fold", **options) -> DataFrame:
-    """Out-of-fold predictions with all columns (without is "nothing") and without each family of columns, tagged by it."""
-    out = None
-    for name in ("nothing", *families):
-        kept = [c for f, cs in families.items() if f != name for c in cs]
-        part = cross_validate(rows, kept, fold, **options).select("candidate_id", fold, "y", "p", F.lit(name).alias("without"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def cross_validate(rows: DataFrame, columns: list[str], fold: str = "fold", trees: int = 20, depth: int = 4, seed: int = 42) -> DataFrame:
+    """Out-of-fold predictions: each fold is scored by a model of all rows of the others; where those lack a class p is 0.
+
+    The models, a few kilobytes each, score all rows in one pass.
+    """
+    scored = _scored(rows, [list(columns)], fold, trees, depth, seed)
+    return Scratch(rows.sparkSession).write(scored.withColumn("p", F.col("p")[0]), "oof")
+
+
+def ablation(rows: DataFrame, families: dict[str, list[str]], fold: str = "fold", trees: int = 20, depth: int = 4, seed: int = 42) -> DataFrame:
+    """Out-of-fold predictions with all columns (without is "nothing") and without each family of columns, tagged by it; all are fitted in one pass and scored in another."""
+    names = ["nothing", *families]
+    sets = [[c for f, cs in families.items() if f != name for c in cs] for name in names]
+    scored = _scored(rows.select("candidate_id", fold, "y", *sets[0]), sets, fold, trees, depth, seed)
+    kept = Scratch(rows.sparkSession).write(scored.select("candidate_id", fold, "y", "p"), "oof")
+    each = F.explode(F.array(*[F.struct(F.col("p")[i].alias("p"), F.lit(name).alias("without")) for i, name in enumerate(names)]))
+    return kept.select("candidate_id", fold, "y", each.alias("e")).select("candidate_id", fold, "y", "e.p", "e.without")
 
 
 def ablation_deltas(scores: DataFrame, families: dict[str, list[str]], fn_cost: float, fp_cost: float) -> DataFrame:
