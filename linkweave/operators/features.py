@@ -47,6 +47,18 @@ def shared_slice(rows: DataFrame, shared: DataFrame, attributes: tuple[str, ...]
     return out.withColumn("hit", hit).join(some, "candidate_id", "left").where("hit OR some IS NULL").select(*rows.columns)
 
 
+def marked_slice(rows: DataFrame) -> DataFrame:
+    """rows with sliced: whether shared_slice() on shared_values() has the row, found in one exchange, by candidate: a value is shared where its first card isn't its last."""
+    out, hits = rows.repartition("candidate_id"), []
+    for a in ATTRIBUTES:
+        w = Window.partitionBy("candidate_id", a)
+        out = out.withColumn(f"hit_{a}", F.col(a).isNotNull() & (F.min("card_id").over(w) != F.max("card_id").over(w)))
+        hits.append(F.col(f"hit_{a}"))
+    out = out.withColumn("sliced", F.greatest(*hits))
+    some = F.max("sliced").over(Window.partitionBy("candidate_id"))
+    return out.withColumn("sliced", F.col("sliced") | ~some).select(*rows.columns, "sliced")
+
+
 def identity_features(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Distinct devices, addresses and mailboxes, the most cards on one of each, and ratios to the candidate's size n (sizes: candidate_id, n)."""
     long = rows.select("candidate_id", "card_id", F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in ATTRIBUTES])).alias("e")).where("e.value IS NOT NULL").select("candidate_id", "e.attribute", "e.value", "card_id")
@@ -157,10 +169,10 @@ def behavioural_features(rows: DataFrame, small: DataFrame) -> DataFrame:
 def features(members: DataFrame, txn: DataFrame, small: DataFrame, edges: DataFrame, n_vertices: int, n_edges: int) -> DataFrame:
     """One row per candidate with all 31 columns as doubles."""
     scratch = Scratch(members.sparkSession)
-    # read by several branches each: written once
-    rows = scratch.write(gather(members, txn).select("candidate_id", *READ), "rows")
-    shared = scratch.write(shared_values(rows), "shared")  # with a known size, its joins needn't move the rows where it is small
-    slice_ = scratch.write(shared_slice(rows, shared), "slice")
+    # read by several branches: written once, with the time once
+    carried = [c for c in READ if c != "timestamp"]
+    rows = scratch.write(marked_slice(gather(members, txn).select("candidate_id", *carried)), "rows")
+    slice_ = rows.where("sliced").withColumn("timestamp", F.timestamp_seconds("ts"))
     sizes = members.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"))
     known = rows.select("candidate_id").distinct()
     ident = identity_features(rows, sizes)

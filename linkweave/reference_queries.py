@@ -360,7 +360,7 @@ def ref_halo(spark, d):
 
 def _features(spark, d):
     b = Base(spark, d)
-    b.once("txn", lambda: transactions(table(spark, d, "card_txns")), write=True)  # read for edges, cards and rows
+    b.once("txn", lambda: transactions(table(spark, d, "card_txns")).select(*[c for c in X.READ if c != "timestamp"]), write=True)  # read for edges, cards and rows
     return X.features(b.members, b.txn, b.small, b.edges, b.n_cards, b.n_edges)
 
 
